@@ -44,3 +44,67 @@ QUERIES: dict[str, Query] = {
     "sponsor_share": q_sponsor_share,
     "bill_features": q_bill_features,
 }
+
+
+# ---- articles, model table and summary tables ------------------------------------------------
+
+from billcov.operators import articles as art  # noqa: E402
+from billcov.operators import model_table as mt  # noqa: E402
+
+
+def q_article_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return art.article_counts(fx.articles(spark, sf_dir), art.fixture_sites())
+
+
+def q_article_counts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = art.fixture_sites()
+    return art.article_counts_wide(art.article_counts(fx.articles(spark, sf_dir), sites), sites)
+
+
+def q_top_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.top_topic(fx.bill_topics(spark, sf_dir))
+
+
+def _model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = art.fixture_sites()
+    wide = art.article_counts_wide(art.article_counts(fx.articles(spark, sf_dir), sites), sites)
+    return mt.model_table(q_bill_features(spark, sf_dir), wide, topics=q_top_topic(spark, sf_dir))
+
+
+def q_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model_table(spark, sf_dir)
+
+
+def q_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.model_frame(_model_table(spark, sf_dir))
+
+
+def q_article_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.article_bins(mt.model_frame(_model_table(spark, sf_dir)), art.fixture_sites())
+
+
+def q_feature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.feature_ranges(mt.model_frame(_model_table(spark, sf_dir)))
+
+
+def q_url_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = art.apply_url_rules(fx.articles(spark, sf_dir), ["azcentral_pre", "azcentral_post"])
+    return a.select("site", "URL", "Bill", "Year", "Author", "Title", "status")
+
+
+def q_clean_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = art.drop_paywall(art.drop_empty_text(art.drop_failed(fx.articles(spark, sf_dir))))
+    return a.select("site", "URL", "Bill", "Year")
+
+
+QUERIES.update({
+    "article_counts": q_article_counts,
+    "article_counts_pivot": q_article_counts_pivot,
+    "top_topic": q_top_topic,
+    "model_table": q_model_table,
+    "model_frame": q_model_frame,
+    "article_bins": q_article_bins,
+    "feature_ranges": q_feature_ranges,
+    "url_blocklist": q_url_blocklist,
+    "clean_articles": q_clean_articles,
+})

@@ -64,4 +64,82 @@ def _sql() -> dict[str, str]:
     return q
 
 
+_COUNTS_CTES = r"""
+na AS (SELECT site, CASE WHEN site = 'site_2' THEN Title ELSE Author END AS Author,
+              CASE WHEN site = 'site_2' THEN Author ELSE Title END AS Title, Text, Bill, Year FROM articles),
+dd AS (SELECT DISTINCT site, Author, Bill, Text, Title, Year FROM na WHERE site IN ('site_0', 'site_1', 'site_3')
+       UNION ALL SELECT site, Author, Bill, Text, Title, Year FROM na WHERE site = 'site_2'),
+counts AS (SELECT site, Bill, Year, count(*) AS article_count FROM dd GROUP BY site, Bill, Year),
+wide AS (SELECT Bill, Year,
+           CAST(coalesce(sum(CASE WHEN site = 'site_0' THEN article_count END), 0) AS BIGINT) AS AZCen_Count,
+           CAST(coalesce(sum(CASE WHEN site = 'site_1' THEN article_count END), 0) AS BIGINT) AS AZDS_Count,
+           CAST(coalesce(sum(CASE WHEN site = 'site_2' THEN article_count END), 0) AS BIGINT) AS AZCap_Count,
+           CAST(coalesce(sum(CASE WHEN site = 'site_3' THEN article_count END), 0) AS BIGINT) AS PNT_Count
+         FROM counts GROUP BY Bill, Year)"""
+
+_TOP_TOPIC_CTE = r"""
+tt AS (SELECT bill_number, year,
+              CASE WHEN Topic1 >= Topic2 AND Topic1 >= Topic3 THEN 'Topic1'
+                   WHEN Topic2 >= Topic3 THEN 'Topic2' ELSE 'Topic3' END AS Top_Topic
+       FROM bill_topics)"""
+
+_MODEL_CTES = _BILL_FEATURES_CTES + "," + _COUNTS_CTES + "," + _TOP_TOPIC_CTE + r""",
+mt AS (SELECT bf.bill_number, bf.year, bf.bill_id, bf.passed, bf.Committee_Intro_Count, bf.Committees_Concat,
+              bf.sen_intro, bf.SponsorCount, bf.RepubSponsorPct,
+              coalesce(w.AZCen_Count, 0) AS AZCen_Count, coalesce(w.AZDS_Count, 0) AS AZDS_Count,
+              coalesce(w.AZCap_Count, 0) AS AZCap_Count, coalesce(w.PNT_Count, 0) AS PNT_Count,
+              CAST(NULL AS INT) AS Bill_Sim_Binary, tt.Top_Topic
+       FROM bf LEFT JOIN wide w ON w.Bill = bf.bill_number AND CAST(w.Year AS VARCHAR) = bf.year
+               LEFT JOIN tt ON tt.bill_number = bf.bill_number AND tt.year = bf.year),
+mf AS (SELECT bill_number, year, bill_id, coalesce(passed, 0) AS passed,
+              CAST(length(Committees_Concat) - length(replace(Committees_Concat, ',', '')) + 1 AS BIGINT) AS Committee_Intro_Count,
+              Committees_Concat, sen_intro, coalesce(SponsorCount, 0) AS SponsorCount,
+              coalesce(RepubSponsorPct, 0) AS RepubSponsorPct, AZCen_Count, AZDS_Count, AZCap_Count, PNT_Count,
+              coalesce(Bill_Sim_Binary, 0) AS Bill_Sim_Binary, Top_Topic
+       FROM mt)"""
+
+_ALL_VIEWS = ("bills", "history", "people", "sponsors", "articles", "bill_topics")
+
+
+def _sql_model() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["article_counts"] = with_views("WITH" + _COUNTS_CTES + "\nSELECT * FROM counts", "articles")
+    q["article_counts_pivot"] = with_views("WITH" + _COUNTS_CTES + "\nSELECT * FROM wide", "articles")
+    q["top_topic"] = with_views("WITH" + _TOP_TOPIC_CTE + "\nSELECT * FROM tt", "bill_topics")
+    q["model_table"] = with_views("WITH" + _MODEL_CTES + "\nSELECT * FROM mt", *_ALL_VIEWS)
+    q["model_frame"] = with_views("WITH" + _MODEL_CTES + "\nSELECT * FROM mf", *_ALL_VIEWS)
+    q["article_bins"] = with_views("WITH" + _MODEL_CTES + r""",
+lg AS (SELECT 'PHX New Times' AS news_site, PNT_Count AS c FROM mf UNION ALL
+       SELECT 'AZ Republic', AZCen_Count FROM mf UNION ALL
+       SELECT 'AZ Capitol Times', AZCap_Count FROM mf UNION ALL
+       SELECT 'AZ Daily Star', AZDS_Count FROM mf)
+SELECT CASE WHEN c < 25 THEN '0-24' WHEN c < 50 THEN '25-49' WHEN c < 75 THEN '50-74' WHEN c < 100 THEN '75-99' ELSE '100+' END AS article_count_group,
+       CASE WHEN c < 25 THEN 1 WHEN c < 50 THEN 2 WHEN c < 75 THEN 3 WHEN c < 100 THEN 4 ELSE 5 END AS bin_order,
+       news_site, count(*) AS bills
+FROM lg GROUP BY ALL""", *_ALL_VIEWS)
+    feats = ["Bill_Sim_Binary", "RepubSponsorPct", "SponsorCount", "sen_intro", "Committee_Intro_Count",
+             "PNT_Count", "AZCap_Count", "AZCen_Count", "AZDS_Count"]
+    union = "\nUNION ALL ".join(
+        f"SELECT '{f}' AS feature, min(CAST({f} AS DOUBLE)) AS min_value, max(CAST({f} AS DOUBLE)) AS max_value, "
+        f"round_even(avg(CAST({f} AS DOUBLE)), 6) AS mean_value FROM mf" for f in feats)
+    q["feature_ranges"] = with_views("WITH" + _MODEL_CTES + "\n" + union, *_ALL_VIEWS)
+    q["url_blocklist"] = with_views(r"""
+SELECT site, URL, Bill, Year,
+  CASE WHEN pre THEN 'N/a' ELSE Author END AS Author, CASE WHEN pre THEN 'N/a' ELSE Title END AS Title,
+  CASE WHEN pre THEN 'skipped' ELSE 'ok' END AS status
+FROM (SELECT *, (contains(URL, 'podcast') OR contains(URL, 'amp') OR contains(URL, '/picture-gallery/')
+                 OR contains(URL, '/videos/') OR contains(URL, '/interactives/') OR contains(URL, '/restricted/')) AS pre
+      FROM articles) a
+WHERE NOT (contains(URL, '-podcast/') OR contains(URL, '/videos/') OR contains(URL, 'amp')
+           OR contains(URL, '/picture_gallery/') OR contains(URL, '/interactives/') OR contains(URL, '/restricted/'))""",
+        "articles")
+    q["clean_articles"] = with_views(r"""
+SELECT site, URL, Bill, Year FROM articles
+WHERE (Author IS NULL OR Author <> 'N/A') AND length(Text) > 0
+  AND NOT coalesce(contains(Text, 'Enter your user name and password in the fields above to gain access to the subscriber content on this site.'), false)""",
+        "articles")
+    return q
+
+
 ORACLE_SQL = _sql()
+ORACLE_SQL.update(_sql_model())
