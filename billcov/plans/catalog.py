@@ -108,3 +108,48 @@ QUERIES.update({
     "url_blocklist": q_url_blocklist,
     "clean_articles": q_clean_articles,
 })
+
+
+# ---- introduction windows, matching, search manifest ------------------------------------------
+
+from billcov.operators import matching as mtc  # noqa: E402
+
+MATCH_CAP = (mtc.SEARCH_PAGES + 1) * 10  # six result pages of ten
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtc.search_windows(fx.bills(spark, sf_dir), fx.history(spark, sf_dir), fx.HISTORY_ORDER)
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtc.article_tokens(fx.articles(spark, sf_dir), art.fixture_sites())
+
+
+def q_intro_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).drop("title")
+
+
+def q_match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtc.match_and(_windows(spark, sf_dir), _tokens(spark, sf_dir))
+
+
+def q_match_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtc.match_with_fallback(_windows(spark, sf_dir), _tokens(spark, sf_dir))
+
+
+def q_match_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = mtc.match_with_fallback(_windows(spark, sf_dir), _tokens(spark, sf_dir))
+    return mtc.cap_results(hits, MATCH_CAP)
+
+
+def q_search_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtc.search_manifest(_windows(spark, sf_dir), art.SITES)
+
+
+QUERIES.update({
+    "intro_window": q_intro_window,
+    "match_and": q_match_and,
+    "match_or_fallback": q_match_or_fallback,
+    "match_capped": q_match_capped,
+    "search_manifest": q_search_manifest,
+})

@@ -143,3 +143,60 @@ WHERE (Author IS NULL OR Author <> 'N/A') AND length(Text) > 0
 
 ORACLE_SQL = _sql()
 ORACLE_SQL.update(_sql_model())
+
+
+# ---- matching ---------------------------------------------------------------------------------
+
+def _sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _sql_matching() -> dict[str, str]:
+    from billcov.operators.matching import STOP_WORDS, SEARCH_PAGES
+
+    stop = _sql_list(STOP_WORDS)
+    split = r"'[^\p{L}\p{N}]+'"
+    ctes = rf"""
+h1 AS (SELECT bill_id, date AS intro_date,
+              row_number() OVER (PARTITION BY bill_id ORDER BY sequence, date, k1, k2) AS rn FROM history),
+w AS (SELECT b.bill_id, b.bill_number, b.year, b.title, h1.intro_date,
+             CAST(h1.intro_date - INTERVAL 6 MONTH AS DATE) AS date_lower
+      FROM bills b JOIN h1 ON h1.bill_id = b.bill_id AND h1.rn = 1),
+kw AS (SELECT bill_id, array_to_string(list_filter(string_split(title, ';'), lambda x: NOT contains(x, '&')), ' ') AS terms FROM w),
+qt AS (SELECT DISTINCT bill_id, t AS token
+       FROM (SELECT bill_id, unnest(regexp_split_to_array(lower(terms), {split})) AS t FROM kw)
+       WHERE t <> '' AND t NOT IN ({stop})),
+nq AS (SELECT bill_id, count(*) AS n_q FROM qt GROUP BY bill_id),
+atok AS (SELECT DISTINCT URL, site, published, t AS token
+       FROM (SELECT URL, site, published, unnest(regexp_split_to_array(lower(concat_ws(' ', Title, Text)), {split})) AS t
+             FROM articles WHERE contains(URL, site) AND published IS NOT NULL)
+       WHERE t <> '' AND t NOT IN ({stop})),
+pairs AS (SELECT w.bill_id, w.bill_number, w.year, atok.site, atok.URL, atok.published, count(*) AS m
+          FROM qt JOIN atok USING (token) JOIN w ON w.bill_id = qt.bill_id
+          WHERE atok.published BETWEEN w.date_lower AND w.intro_date
+          GROUP BY ALL),
+and_hits AS (SELECT p.bill_id, p.bill_number, p.year, p.site, p.URL, p.published, p.m AS matched
+             FROM pairs p JOIN nq USING (bill_id) WHERE p.m = nq.n_q),
+fb AS (SELECT bill_id, bill_number, year, site, URL, published, matched, 'and' AS mode FROM and_hits
+       UNION ALL
+       SELECT p.bill_id, p.bill_number, p.year, p.site, p.URL, p.published, p.m AS matched, 'or' AS mode FROM pairs p
+       WHERE NOT EXISTS (SELECT 1 FROM and_hits a WHERE a.bill_id = p.bill_id AND a.site = p.site))"""
+    views = ("bills", "history", "articles")
+    q: dict[str, str] = {}
+    q["intro_window"] = with_views(r"""WITH
+h1 AS (SELECT bill_id, date AS intro_date,
+              row_number() OVER (PARTITION BY bill_id ORDER BY sequence, date, k1, k2) AS rn FROM history)
+SELECT b.bill_id, b.bill_number, b.year, h1.intro_date, CAST(h1.intro_date - INTERVAL 6 MONTH AS DATE) AS date_lower,
+       strftime(h1.intro_date, '%m/%d/%Y') AS date_upper_text,
+       strftime(CAST(h1.intro_date - INTERVAL 6 MONTH AS DATE), '%m/%d/%Y') AS date_lower_text
+FROM bills b JOIN h1 ON h1.bill_id = b.bill_id AND h1.rn = 1""", "bills", "history")
+    q["match_and"] = with_views("WITH" + ctes + "\nSELECT * FROM and_hits", *views)
+    q["match_or_fallback"] = with_views("WITH" + ctes + "\nSELECT * FROM fb", *views)
+    cap = (SEARCH_PAGES + 1) * 10
+    q["match_capped"] = with_views("WITH" + ctes + f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bill_id, site ORDER BY matched DESC, published DESC, URL) AS rank FROM fb)
+WHERE rank <= {cap}""", *views)
+    return q
+
+
+ORACLE_SQL.update(_sql_matching())
