@@ -164,3 +164,18 @@ def bill_features(
         "SponsorCount",
         "RepubSponsorPct",
     )
+
+
+def latest_document(bills: DataFrame, documents: DataFrame) -> DataFrame:
+    """bill_id, bill_number, year, document_id, url: one document per bill (J1, G7).
+
+    The reference sorts by last_action_date – a bill column, so every document of a bill ties – and
+    keeps the last; the tie is broken by the larger document id.  ``max(struct)`` is a partial
+    aggregate (safe for a bill with very many documents).
+    """
+    b = bills.select("bill_id", "bill_number", "year", "last_action_date")
+    j = b.join(documents.select("bill_id", "document_id", "url"), "bill_id")
+    best = F.max(F.struct("last_action_date", "document_id", "url")).alias("d")
+    return j.groupBy("bill_id", "bill_number", "year").agg(best).select(
+        "bill_id", "bill_number", "year", F.col("d.document_id").alias("document_id"), F.col("d.url").alias("url")
+    )

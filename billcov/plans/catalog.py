@@ -153,3 +153,25 @@ QUERIES.update({
     "match_capped": q_match_capped,
     "search_manifest": q_search_manifest,
 })
+
+
+# ---- documents and pages ----------------------------------------------------------------------
+
+from billcov.operators import html_extract as hx  # noqa: E402
+
+
+def q_latest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.latest_document(fx.bills(spark, sf_dir), fx.bill_documents(spark, sf_dir))
+
+
+def q_html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("site", F.lit("generic"))
+    return hx.extract_articles(pages)
+
+
+QUERIES.update({
+    "latest_document": q_latest_document,
+    "html_articles": q_html_articles,
+})

@@ -200,3 +200,45 @@ WHERE rank <= {cap}""", *views)
 
 
 ORACLE_SQL.update(_sql_matching())
+
+
+def _sql_manifest() -> dict[str, str]:
+    news = [("azcentral", "azcentral"), ("azdailystar", "tucson.com"), ("phoenixnewtimes", "phoenixnewtimes"),
+            ("cronkitepbs", "cronkite")]
+    parts = []
+    for site, src in news:
+        head = (f"' %20source%3A{src}%20before%3A' || strftime(intro_date, '%Y-%m-%d') || '%20after%3A' || "
+                f"strftime(date_lower, '%Y-%m-%d') || '&hl=en-US&gl=US&ceid=US%3Aen'")
+        parts.append(f"SELECT bill_id, '{site}' AS site, 0 AS page, 'and' AS mode, "
+                     f"'https://news.google.com/search?q=' || replace(kw, ' ', '%20') || {head} AS request FROM t")
+        parts.append(f"SELECT bill_id, '{site}' AS site, 0 AS page, 'or' AS mode, "
+                     f"'https://news.google.com/search?q=' || replace(replace(kw, '  ', ' '), ' ', '%20OR%20') || {head} AS request FROM t")
+    for p in range(6):
+        parts.append(
+            f"SELECT bill_id, 'azcapitoltimes' AS site, {p} AS page, 'and' AS mode, "
+            f"'https://azcapitoltimes.com/?s=' || replace(raw, ' ', '+') || '&search_category=&date_start=' || "
+            f"strftime(date_lower, '%m') || '%2F' || strftime(date_lower, '%d') || '%2F' || strftime(date_lower, '%Y') || "
+            f"'&date_end=' || strftime(intro_date, '%m') || '%2F' || strftime(intro_date, '%d') || '%2F' || strftime(intro_date, '%Y') || "
+            f"'&sort=rel&page={p}' AS request FROM t")
+        parts.append(
+            f"SELECT bill_id, 'foxphoenix' AS site, {p} AS page, 'and' AS mode, "
+            f"'https://www.fox10phoenix.com/search?q=' || replace(raw, ' ', '%20') || '&sort=relevance&page={p}&from=' || "
+            f"strftime(date_lower, '%Y-%m-%d') || '&to=' || strftime(intro_date, '%Y-%m-%d') AS request FROM t")
+    body = r"""WITH
+h1 AS (SELECT bill_id, date AS intro_date,
+              row_number() OVER (PARTITION BY bill_id ORDER BY sequence, date, k1, k2) AS rn FROM history),
+t AS (SELECT b.bill_id, h1.intro_date, CAST(h1.intro_date - INTERVAL 6 MONTH AS DATE) AS date_lower,
+             array_to_string(string_split(b.title, ';'), ' ') AS raw,
+             array_to_string(list_filter(string_split(b.title, ';'), lambda x: NOT contains(x, '&')), ' ') AS kw
+      FROM bills b JOIN h1 ON h1.bill_id = b.bill_id AND h1.rn = 1)
+""" + "\nUNION ALL\n".join(parts)
+    return {"search_manifest": with_views(body, "bills", "history")}
+
+
+ORACLE_SQL.update(_sql_manifest())
+
+ORACLE_SQL["latest_document"] = with_views(r"""
+SELECT bill_id, bill_number, year, document_id, url FROM (
+  SELECT b.bill_id, b.bill_number, b.year, d.document_id, d.url,
+         row_number() OVER (PARTITION BY b.bill_id ORDER BY b.last_action_date DESC, d.document_id DESC) AS rn
+  FROM bills b JOIN bill_documents d USING (bill_id)) WHERE rn = 1""", "bills", "bill_documents")
