@@ -175,3 +175,79 @@ QUERIES.update({
     "latest_document": q_latest_document,
     "html_articles": q_html_articles,
 })
+
+
+# ---- title text, topics, logit ----------------------------------------------------------------
+
+from billcov.operators import logit as lg  # noqa: E402
+from billcov.operators import topics as tp  # noqa: E402
+
+# Grid used by the registered topic queries (the library default is the reference's 18 × 4 × 5).
+TOPIC_GRID = dict(k_values=(3, 4, 5), decays=(0.5, 0.7), n_folds=3, max_iter=10, parallelism=4)
+
+
+def q_title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    t = tp.title_tokens(fx.bills(spark, sf_dir))
+    return t.select("bill_number", "year", "title_clean", F.size("tokens").alias("n_tokens"))
+
+
+def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tp.token_counts(tp.title_tokens(fx.bills(spark, sf_dir)))
+
+
+def _topics(spark: SparkSession, sf_dir: str):
+    return tp.fit_topics(fx.bills(spark, sf_dir), **TOPIC_GRID)
+
+
+def q_topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topics(spark, sf_dir)[0]
+
+
+def q_topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topics(spark, sf_dir)[1]
+
+
+def q_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topics(spark, sf_dir)[2]
+
+
+def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.model_frame(_model_table(spark, sf_dir))
+
+
+def _base_year(frame: DataFrame) -> str:
+    """The reference's base year 2017 when present, else the middle year level of the data."""
+    from pyspark.sql import functions as F
+
+    years = [r[0] for r in frame.select("year").distinct().orderBy("year").collect()]  # a handful of levels
+    return "2017" if "2017" in years else years[len(years) // 2]
+
+
+def q_logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lg.coef_table(spark, lg.fit_models(_frame(spark, sf_dir)))
+
+
+def q_effect_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _frame(spark, sf_dir)
+    fit = lg.fit_logit(frame, "committees", lg.FORMULAS["committees"])
+    return lg.effect_table(frame, fit, base_year=_base_year(frame))
+
+
+def q_fitted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _frame(spark, sf_dir)
+    fit = lg.fit_logit(frame, "committees", lg.FORMULAS["committees"])
+    return lg.fitted_ranking(frame, fit)
+
+
+QUERIES.update({
+    "title_tokens": q_title_tokens,
+    "token_counts": q_token_counts,
+    "topic_distribution": q_topic_distribution,
+    "topic_keywords": q_topic_keywords,
+    "topic_scores": q_topic_scores,
+    "logit_coefficients": q_logit_coefficients,
+    "effect_table": q_effect_table,
+    "fitted_ranking": q_fitted_ranking,
+})

@@ -242,3 +242,31 @@ SELECT bill_id, bill_number, year, document_id, url FROM (
   SELECT b.bill_id, b.bill_number, b.year, d.document_id, d.url,
          row_number() OVER (PARTITION BY b.bill_id ORDER BY b.last_action_date DESC, d.document_id DESC) AS rn
   FROM bills b JOIN bill_documents d USING (bill_id)) WHERE rn = 1""", "bills", "bill_documents")
+
+
+def _sql_text() -> dict[str, str]:
+    from billcov.operators.matching import STOP_WORDS
+    from billcov.operators.topics import PUNCTUATION
+
+    stop = "[" + _sql_list(STOP_WORDS) + "]"
+    punct = "'" + PUNCTUATION.replace("'", "''") + "'"
+    tt = rf"""WITH
+s1 AS (SELECT bill_number, year,
+              list_filter(string_split(replace(lower(title), '; ', ' '), ' '), lambda x: NOT list_contains({stop}, x)) AS toks
+       FROM bills),
+s2 AS (SELECT bill_number, year,
+              list_filter(regexp_split_to_array(trim(regexp_replace(array_to_string(toks, ' '), '([\p{{P}}\p{{S}}])', ' \1 ', 'g')), '\s+'),
+                          lambda x: x <> '') AS toks FROM s1),
+s3 AS (SELECT bill_number, year,
+              list_filter(toks, lambda x: NOT regexp_matches(x, '^\p{{Nd}}') AND instr({punct}, x) = 0) AS toks FROM s2),
+tt AS (SELECT bill_number, year, array_to_string(toks, ' ') AS title_clean, CAST(len(toks) AS INT) AS n_tokens FROM s3)"""
+    return {
+        "title_tokens": with_views(tt + "\nSELECT * FROM tt", "bills"),
+        "token_counts": with_views(tt + r"""
+SELECT bill_number, year, term, count(*) AS n
+FROM (SELECT bill_number, year, unnest(regexp_extract_all(lower(title_clean), '[\p{L}\p{N}_]{2,}')) AS term FROM tt)
+GROUP BY ALL""", "bills"),
+    }
+
+
+ORACLE_SQL.update(_sql_text())
