@@ -54,4 +54,4 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 def word_tokens(c: Column | str) -> Column:
     """Distinct lower-case word tokens (empty strings removed)."""
     toks = F.split(F.lower(_c(c)), TOKEN_SPLIT)
-    return F.array_distinct(F.filter(toks, lambda x: x != F.lit("")))
+    return F.array_distinct(F.array_remove(toks, ""))

@@ -16,11 +16,11 @@ Plan shape (no nested-loop join anywhere):
 * article tokens ``(URL, site, published, month, token)`` – distinct per article;
 * AND anchors each bill on its rarest query token (document frequency from one aggregation), joins
   on the equi-key ``(token, month)`` – the bill side is exploded to the 7 calendar months its window
-  touches, so a common token is split by month before the range predicate – and verifies the
-  remaining tokens with a second equi-join on ``(URL, token)``.  Candidates are bounded by the
-  rarest token's postings, never by the most common one;
+  touches, so a common token is split by month before the range predicate – and verifies the other
+  tokens against the article's token set (one join on URL).  Candidates are bounded by the rarest
+  token's postings, never by the most common one;
 * OR joins all query tokens on ``(token, month)``, keeps distinct (bill, article) pairs – the output
-  itself – with the matched-token count as relevance.
+  itself – with the matched-token count as relevance; AND-with-fallback reuses that one join.
 Hot tokens remain equi-join keys, so AQE's skew-join split applies to them.
 """
 
@@ -102,8 +102,9 @@ def _window_months(lower: Column, upper: Column) -> Column:
     return F.explode(F.sequence(F.trunc(lower, "MM"), F.trunc(upper, "MM"), F.expr("INTERVAL 1 MONTH")))
 
 
-def article_tokens(articles: DataFrame, sites: Sequence[SiteSpec] | None = None) -> DataFrame:
-    """URL, site, published, month, token – one row per distinct token of each article."""
+def article_sets(articles: DataFrame, sites: Sequence[SiteSpec] | None = None) -> DataFrame:
+    """URL, site, published, month, atokens – one row per article (the article key is its URL) with
+    the distinct content tokens of title and text."""
     a = articles
     if sites is not None:
         a = a.where(F.col("site").isin([s.site for s in sites]))
@@ -112,10 +113,18 @@ def article_tokens(articles: DataFrame, sites: Sequence[SiteSpec] | None = None)
             check = F.when(F.col("site") == s.site, F.lit(s.source or s.site)).otherwise(check)
         a = a.where(F.col("URL").contains(check))  # only urls from the site searched
     text = F.concat_ws(" ", F.col("Title"), F.col("Text"))
-    return a.where(F.col("published").isNotNull()).select(
-        "URL", "site", "published", F.trunc("published", "MM").alias("month"),
-        F.explode(content_tokens(text)).alias("token"),
+    sets = a.where(F.col("published").isNotNull()).select(
+        "URL", "site", "published", F.trunc("published", "MM").alias("month"), content_tokens(text).alias("atokens")
     )
+    # Hash-partition once by the article key: every branch that reads the sets (postings, document
+    # frequencies, verification) then starts from the same exchange, which Spark reuses, so whole
+    # texts are tokenized once per query; the verification join on URL needs no further shuffle.
+    return sets.repartition("URL")
+
+
+def article_tokens(sets: DataFrame) -> DataFrame:
+    """URL, site, published, month, token – the postings: one row per distinct token of each article."""
+    return sets.select("URL", "site", "published", "month", F.explode("atokens").alias("token"))
 
 
 def bill_queries(windows: DataFrame) -> DataFrame:
@@ -130,12 +139,17 @@ def _in_window(published: Column) -> Column:
     return published.between(F.col("date_lower"), F.col("intro_date"))
 
 
-def match_and(windows: DataFrame, tokens: DataFrame) -> DataFrame:
+def match_and(windows: DataFrame, sets: DataFrame) -> DataFrame:
     """bill_id, bill_number, year, site, URL, published, matched: articles containing every query
-    token inside the bill's window."""
+    token inside the bill's window.
+
+    Candidates come from the bill's rarest token only (postings of that token in the window's
+    months); each candidate is then checked against the article's token set, joined on URL.
+    """
+    postings = article_tokens(sets)
     q = bill_queries(windows)
     qt = q.select("bill_id", F.explode("qtokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     anchor = (
         qt.join(df, "token", "left")
         .groupBy("bill_id")
@@ -144,48 +158,45 @@ def match_and(windows: DataFrame, tokens: DataFrame) -> DataFrame:
         .select("bill_id", F.col("a.token").alias("anchor"))
     )
     probe = q.join(anchor, "bill_id").select(
-        "bill_id", "bill_number", "year", "intro_date", "date_lower", "n_q",
+        "bill_id", "bill_number", "year", "intro_date", "date_lower", "qtokens", "n_q",
         F.col("anchor").alias("token"), _window_months(F.col("date_lower"), F.col("intro_date")).alias("month"),
     )
-    cand = probe.join(tokens, ["token", "month"]).where(_in_window(F.col("published"))).select(
-        "bill_id", "bill_number", "year", "n_q", "URL", "site", "published"
-    )
-    # verify the remaining tokens: (candidate × query token) semi-joined with the article tokens
-    need = cand.where(F.col("n_q") > 1).join(qt, "bill_id")
-    have = tokens.select("URL", "token").distinct()
-    verified = (
-        need.join(have, ["URL", "token"], "left_semi")
-        .groupBy("bill_id", "URL")
-        .agg(F.count(F.lit(1)).alias("m"), F.first("n_q").alias("n_q"))
-        .where(F.col("m") == F.col("n_q"))
-        .select("bill_id", "URL")
-    )
-    multi = cand.where(F.col("n_q") > 1).join(verified, ["bill_id", "URL"], "left_semi")
-    single = cand.where(F.col("n_q") == 1)
-    return single.unionByName(multi).select(
-        "bill_id", "bill_number", "year", "site", "URL", "published", F.col("n_q").alias("matched")
+    cand = postings.join(probe, ["token", "month"]).where(_in_window(F.col("published")))
+    cand = cand.select("bill_id", "bill_number", "year", "qtokens", "n_q", "URL", "site", "published")
+    # all query tokens present: intersect probes the article's tokens against the few query tokens
+    full = cand.join(sets.select("URL", "atokens"), "URL").where(
+        F.size(F.array_intersect("atokens", "qtokens")) == F.col("n_q")
     )
+    return full.select("bill_id", "bill_number", "year", "site", "URL", "published", F.col("n_q").alias("matched"))
 
 
-def match_or(windows: DataFrame, tokens: DataFrame) -> DataFrame:
+def match_or(windows: DataFrame, sets: DataFrame, keep_n_q: bool = False) -> DataFrame:
     """bill_id, bill_number, year, site, URL, published, matched: articles sharing ≥1 query token
     inside the window; ``matched`` = number of shared tokens."""
     q = bill_queries(windows)
     probe = q.select(
-        "bill_id", "bill_number", "year", "intro_date", "date_lower",
+        "bill_id", "bill_number", "year", "intro_date", "date_lower", "n_q",
         F.explode("qtokens").alias("token"),
     ).withColumn("month", _window_months(F.col("date_lower"), F.col("intro_date")))
-    hits = probe.join(tokens, ["token", "month"]).where(_in_window(F.col("published")))
-    return hits.groupBy("bill_id", "bill_number", "year", "site", "URL", "published").agg(
+    hits = article_tokens(sets).join(probe, ["token", "month"]).where(_in_window(F.col("published")))
+    out = hits.groupBy("bill_id", "bill_number", "year", "site", "URL", "published", "n_q").agg(
         F.count(F.lit(1)).alias("matched")
     )
+    return out if keep_n_q else out.drop("n_q")
 
 
-def match_with_fallback(windows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """AND hits, plus OR hits for (bill, site) pairs with no AND hit; ``mode`` says which."""
-    and_hits = match_and(windows, tokens)
-    or_hits = match_or(windows, tokens)
-    fallback = or_hits.join(and_hits.select("bill_id", "site").distinct(), ["bill_id", "site"], "left_anti")
+def match_with_fallback(windows: DataFrame, sets: DataFrame) -> DataFrame:
+    """AND hits, plus OR hits for (bill, site) pairs with no AND hit; ``mode`` says which.
+
+    The OR join is needed for the fallback anyway, and an AND hit is exactly an OR hit that shares
+    all ``n_q`` query tokens, so both come from one token join (its aggregate exchange is reused by
+    the three branches below).
+    """
+    or_hits = match_or(windows, sets, keep_n_q=True)
+    is_and = F.col("matched") == F.col("n_q")
+    and_hits = or_hits.where(is_and).drop("n_q")
+    has_and = or_hits.where(is_and).select("bill_id", "site").distinct()
+    fallback = or_hits.drop("n_q").join(has_and, ["bill_id", "site"], "left_anti")
     return and_hits.withColumn("mode", F.lit("and")).unionByName(fallback.withColumn("mode", F.lit("or")))
 
 

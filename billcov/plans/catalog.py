@@ -122,7 +122,7 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtc.article_tokens(fx.articles(spark, sf_dir), art.fixture_sites())
+    return mtc.article_sets(fx.articles(spark, sf_dir), art.fixture_sites())
 
 
 def q_intro_window(spark: SparkSession, sf_dir: str) -> DataFrame:
