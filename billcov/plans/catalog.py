@@ -230,13 +230,13 @@ def q_logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_effect_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _frame(spark, sf_dir)
+    frame = lg.prepare(_frame(spark, sf_dir))
     fit = lg.fit_logit(frame, "committees", lg.FORMULAS["committees"])
     return lg.effect_table(frame, fit, base_year=_base_year(frame))
 
 
 def q_fitted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _frame(spark, sf_dir)
+    frame = lg.prepare(_frame(spark, sf_dir))
     fit = lg.fit_logit(frame, "committees", lg.FORMULAS["committees"])
     return lg.fitted_ranking(frame, fit)
 
