@@ -197,8 +197,15 @@ def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.token_counts(tp.title_tokens(fx.bills(spark, sf_dir)))
 
 
+_TOPIC_MEMO: dict = {}
+
+
 def _topics(spark: SparkSession, sf_dir: str):
-    return tp.fit_topics(fx.bills(spark, sf_dir), **TOPIC_GRID)
+    """The topic stage is fitted once per (session, data dir); its three outputs share the fit."""
+    key = (id(spark), sf_dir)
+    if key not in _TOPIC_MEMO:
+        _TOPIC_MEMO[key] = tp.fit_topics(fx.bills(spark, sf_dir), **TOPIC_GRID)
+    return _TOPIC_MEMO[key]
 
 
 def q_topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
