@@ -258,3 +258,15 @@ QUERIES.update({
     "effect_table": q_effect_table,
     "fitted_ranking": q_fitted_ranking,
 })
+
+
+# ---- previous-bill similarity -----------------------------------------------------------------
+
+from billcov.operators import similarity as sim  # noqa: E402
+
+
+def q_similar_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim.similarity_flags(fx.bill_texts(spark, sf_dir))
+
+
+QUERIES["similar_bills"] = q_similar_bills

@@ -270,3 +270,20 @@ GROUP BY ALL""", "bills"),
 
 
 ORACLE_SQL.update(_sql_text())
+
+
+# Brute force over all pairs of distinct texts (no prefix filter) – the exact definition.
+ORACLE_SQL["similar_bills"] = with_views(r"""WITH
+tk AS (SELECT bill_number, year,
+              list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS toks
+       FROM bill_texts),
+tk2 AS (SELECT *, len(toks) AS n, sha256(array_to_string(list_sort(toks), ' ')) AS tkey FROM tk),
+tx AS (SELECT tkey, min(CAST(year AS INT)) AS min_year, any_value(toks) AS toks, any_value(n) AS n FROM tk2 WHERE n > 0 GROUP BY tkey),
+pr AS (SELECT a.tkey, min(b.min_year) AS sim_year
+       FROM tx a JOIN tx b ON a.tkey <> b.tkey AND b.n >= a.n * 0.8 - 1e-9 AND a.n >= b.n * 0.8 - 1e-9
+       WHERE len(list_intersect(a.toks, b.toks)) / (a.n + b.n - len(list_intersect(a.toks, b.toks))) >= 0.8
+       GROUP BY a.tkey)
+SELECT tk2.bill_number, tk2.year,
+       CASE WHEN tk2.n = 0 THEN 0
+            WHEN least(tx.min_year, coalesce(pr.sim_year, tx.min_year)) < CAST(tk2.year AS INT) THEN 1 ELSE 0 END AS Bill_Sim_Binary
+FROM tk2 LEFT JOIN tx USING (tkey) LEFT JOIN pr USING (tkey)""", "bills", "bill_texts")

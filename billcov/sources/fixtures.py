@@ -170,6 +170,14 @@ def bill_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bill_number, year, text – the whole document each bill's title was drawn from."""
+    docs = _read(spark, sf_dir, "documents")
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    b = bills(spark, sf_dir).select("bill_id", "bill_number", "year", (F.col("bill_id") % n_docs).alias("doc_id"))
+    return b.join(docs.select("doc_id", "text"), "doc_id").select("bill_number", "year", "text")
+
+
 # --------------------------------------------------------------------------------------------
 # The same views as SQL (DuckDB dialect, also valid Spark SQL) for the oracle side.
 # --------------------------------------------------------------------------------------------
@@ -204,6 +212,8 @@ JOIN orders o ON o.o_orderkey = a.doc_id % 40""",
     "bill_topics": """SELECT concat(CASE WHEN o_orderkey % 3 = 0 THEN 'SB' ELSE 'HB' END, CAST(1000 + o_orderkey AS STRING)) AS bill_number, CAST(year(o_orderdate) AS STRING) AS year,
   CAST((o_orderkey * 37) % 5 AS DOUBLE) / 10 AS Topic1, CAST((o_orderkey * 41) % 7 AS DOUBLE) / 10 AS Topic2, CAST((o_orderkey * 43) % 6 AS DOUBLE) / 10 AS Topic3
 FROM orders""",
+    "bill_texts": """SELECT b.bill_number, b.year, d.text FROM bills b CROSS JOIN (SELECT count(*) AS n FROM documents) c
+JOIN documents d ON d.doc_id = b.bill_id % c.n""",
 }
 
 
