@@ -246,37 +246,41 @@ def extract_one(html: str, rule_key: str) -> tuple[str | None, str | None, int,
     return (title[0] if title else None), (author[0] if author else None), author_step, text, "ok"
 
 
-RAW_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
+RAW_FIELDS = [
     T.StructField("title_raw", T.StringType()),
     T.StructField("author_raw", T.StringType()),
     T.StructField("author_step", T.IntegerType()),
     T.StructField("paragraphs", T.ArrayType(T.StringType())),
     T.StructField("status", T.StringType()),
-])
+]
 
 
-def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [extract_one(h, r) for h, r in zip(b["html"], b["rule"])]
-        yield pd.DataFrame({
-            "page_id": b["page_id"].astype("int64"),
-            "title_raw": [r[0] for r in rows],
-            "author_raw": [r[1] for r in rows],
-            "author_step": pd.Series([r[2] for r in rows], dtype="int32"),
-            "paragraphs": [r[3] for r in rows],
-            "status": [r[4] for r in rows],
-        })
-
-
-def extract_raw(pages: DataFrame, rule: F.Column | str = "generic") -> DataFrame:
-    """page_id, title_raw, author_raw, paragraphs, status – the Python step, nothing else.
-
-    Only (page_id, html, rule) cross into Python; every other page column stays in the JVM and is
-    joined back by the caller.
+def _make_extractor(carry: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [extract_one(h, r) for h, r in zip(b["html"], b["rule"])]
+            out = {c: b[c].values for c in carry}
+            out.update({
+                "title_raw": [r[0] for r in rows],
+                "author_raw": [r[1] for r in rows],
+                "author_step": pd.Series([r[2] for r in rows], dtype="int32"),
+                "paragraphs": [r[3] for r in rows],
+                "status": [r[4] for r in rows],
+            })
+            yield pd.DataFrame(out)
+    return run
+
+
+def extract_raw(pages: DataFrame, rule: F.Column | str = "generic", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """carry columns + title_raw, author_raw, author_step, paragraphs, status – the Python step only.
+
+    Only html, the rule key and the (small) carried columns cross into Python, in Arrow batches;
+    no join back to the page table is needed afterwards.  Works on streaming DataFrames too.
     """
     rule_col = F.lit(rule) if isinstance(rule, str) else rule
-    return pages.select("page_id", "html", rule_col.alias("rule")).mapInPandas(_extract_batches, RAW_SCHEMA)
+    carry = [c for c in carry if c in pages.columns]
+    schema = T.StructType([pages.schema[c] for c in carry] + RAW_FIELDS)
+    return pages.select(*carry, "html", rule_col.alias("rule")).mapInPandas(_make_extractor(carry), schema)
 
 
 # Boilerplate removed by the reference's cleanup steps.
@@ -298,17 +302,17 @@ def site_rule(url: F.Column, site: F.Column) -> F.Column:
 
 
 def extract_articles(pages: DataFrame, site_col: str = "site") -> DataFrame:
-    """page_id, url, site, Title, Author, Text, status from raw pages ``(page_id, url, site, html[, http_status])``.
+    """page_id, url, site, Title, Author, Text, status from raw pages ``(page_id, url, site, html[, http_status])``."""
+    rule = site_rule(F.col("url"), F.col(site_col))
+    raw = extract_raw(pages.withColumnRenamed(site_col, "site"), rule, carry=("page_id", "url", "site", "http_status"))
+    return clean_articles(raw)
 
-    Native cleanup per site after the Python parse (split at separators, strip, remove boilerplate,
+
+def clean_articles(raw: DataFrame) -> DataFrame:
+    """Native per-site cleanup of the raw fields (split at separators, strip, remove boilerplate,
     paragraph join).  Failed pages keep their row with the ``N/A`` placeholder, as the reference's
-    writers did; ``status`` says which rows they are.
-    """
-    site = F.col(site_col)
-    rule = site_rule(F.col("url"), site)
-    raw = extract_raw(pages, rule)
-    base = pages.drop("html")
-    j = base.join(raw, "page_id")
+    writers did; ``status`` says which rows they are."""
+    site = F.col("site")
     paras = F.filter(F.col("paragraphs"), lambda x: x != F.lit(""))
     text = F.array_join(paras, " ")
     text = (
@@ -334,11 +338,12 @@ def extract_articles(pages: DataFrame, site_col: str = "site") -> DataFrame:
         .otherwise(title)
     )
     failed = F.col("status") == "failed"
-    if "http_status" in pages.columns:
-        failed = failed | (F.col("http_status") == 404)
+    if "http_status" in raw.columns:
+        failed = failed | F.coalesce(F.col("http_status") == 404, F.lit(False))
     ph = F.lit(FAILED)
-    return j.select(
-        "page_id", "url", site.alias("site"),
+    keys = [c for c in ("page_id", "url") if c in raw.columns]
+    return raw.select(
+        *keys, site.alias("site"),
         F.when(failed, ph).otherwise(title).alias("Title"),
         F.when(failed, ph).otherwise(author).alias("Author"),
         F.when(failed, ph).otherwise(text).alias("Text"),
@@ -349,8 +354,7 @@ def extract_articles(pages: DataFrame, site_col: str = "site") -> DataFrame:
 def extract_bill_text(pages: DataFrame) -> DataFrame:
     """page_id, url, Bill_Text, status: last WordSection2 (else Section2) paragraphs joined; pages
     with neither section get null text and ``status='no_section'`` (never the previous bill's text)."""
-    raw = extract_raw(pages, "bill_text")
-    j = pages.select("page_id", "url").join(raw, "page_id")
+    j = extract_raw(pages, "bill_text", carry=("page_id", "url"))
     text = F.array_join(F.filter(F.col("paragraphs"), lambda x: x != F.lit("")), " ")
     ok = F.col("status") == "ok"
     return j.select(
