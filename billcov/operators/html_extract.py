@@ -233,6 +233,8 @@ def extract_one(html: str, rule_key: str) -> tuple[str | None, str | None, int,
         title, _ = _run_field(root, rules["title"])
         author, author_step = _run_field(root, rules["author"])
         text, text_step = _run_field(root, rules["text"])
+        if text is None and rules["text"] and rules["text"][-1][2] is None:
+            text = []  # a final plain find_all that matches nothing is an empty list, not an error
     except Exception:  # noqa: BLE001 - a malformed page becomes a failed row
         return None, None, -1, None, "failed"
     req = rules["required"]
