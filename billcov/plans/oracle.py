@@ -196,6 +196,11 @@ FROM bills b JOIN h1 ON h1.bill_id = b.bill_id AND h1.rn = 1""", "bills", "histo
     q["match_capped"] = with_views("WITH" + ctes + f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bill_id, site ORDER BY matched DESC, published DESC, URL) AS rank FROM fb)
 WHERE rank <= {cap}""", *views)
+    q["collected_articles"] = with_views("WITH" + ctes + f""",
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bill_id, site ORDER BY matched DESC, published DESC, URL) AS rank FROM fb)
+           WHERE rank <= {cap})
+SELECT DISTINCT c.site, a.Author, a.Title, sha256(a.Text) AS text_sha256, c.URL, c.bill_number AS Bill, CAST(c.year AS INT) AS Year
+FROM capped c JOIN articles a ON a.URL = c.URL""", *views)
     return q
 
 

@@ -38,12 +38,11 @@ def collect_articles(
     hits = matching.match_with_fallback(windows, sets)
     if cap is not None:
         hits = matching.cap_results(hits, cap)
-    body = article_index.select("URL", "Author", "Title", "Text").dropDuplicates(["URL"])
-    out = hits.join(body, "URL").select(
-        "site", "Author", "Title", "Text", "URL",
-        F.col("bill_number").alias("Bill"), F.col("year").cast("int").alias("Year"),
-    )
-    return art.dedup_rows(out)
+    # Full-row dedup (G5) without shuffling texts per matching bill: the body is a function of the
+    # article row, so dedup the match keys first and the bodies once, then attach bodies.
+    keys = hits.select("site", "URL", F.col("bill_number").alias("Bill"), F.col("year").cast("int").alias("Year")).distinct()
+    body = art.dedup_rows(article_index.select("URL", "Author", "Title", "Text"))
+    return keys.join(body, "URL").select("site", "Author", "Title", "Text", "URL", "Bill", "Year")
 
 
 @dataclass

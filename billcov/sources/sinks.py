@@ -52,3 +52,17 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequ
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def progress(written: DataFrame, bill_col: str = "Bill", year_col: str = "Year") -> DataFrame:
+    """Bills already collected per year (``countDistinct``) – the reference's resume progress check,
+    compared with the number of bills of the year to decide whether a year is complete (G10)."""
+    from pyspark.sql import functions as F
+
+    return written.groupBy(year_col).agg(F.countDistinct(bill_col).alias("bills_done"))
+
+
+def union_bill_text(new: DataFrame, old: DataFrame) -> DataFrame:
+    """New bill texts appended to the previously collected ones (rows, by column name) – the
+    intended result of the reference's side-by-side concat (S2, Q2)."""
+    return new.unionByName(old, allowMissingColumns=True)
