@@ -56,18 +56,23 @@ def committee_features(
     order_cols: Sequence[str] = ("sequence",),
     within_first: int | None = None,
     key: Sequence[str] = ("bill_id",),
+    first_chamber_only: bool = False,
 ) -> DataFrame:
     """bill_id, Committee_Intro_Count, Committees_Concat, sen_intro (one row per bill with a
     surviving assignment).
 
     ``order_cols`` is the total order standing in for file order.  ``within_first`` enables the
-    intended "within N of the first sequence" filter (the literal script makes it a no-op).
+    intended "within N of the first sequence" filter (the literal script makes it a no-op);
+    ``first_chamber_only`` keeps only assignments in the chamber of the bill's first surviving
+    assignment (the intended chamber filter; the literal one is per row, Q7).
     """
     key = list(key)
     act = F.col("action")
     assigned = history.where(act.contains(ASSIGNED))
     if within_first is not None:
         assigned = _within_first(assigned, key, within_first)
+    if first_chamber_only:
+        assigned = _first_chamber(assigned, key, order_cols)
     has_chamber = act.contains(SENATE) | act.contains(HOUSE)
     pos = F.struct(*[F.col(c) for c in order_cols], act.contains(SENATE).cast("int").alias("sen"))
     per_name = assigned.groupBy(
@@ -117,6 +122,19 @@ def _within_first(assigned: DataFrame, key: list[str], n: int) -> DataFrame:
     )
 
 
+def _first_chamber(assigned: DataFrame, key: list[str], order_cols: Sequence[str]) -> DataFrame:
+    """Keep rows of the chamber (Senate/House) of the first row that survives the RULES filter."""
+    act = F.col("action")
+    counts = assigned.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    cand = assigned.join(counts, key).where(~act.contains(RULES) | (F.col("_n") == 1))
+    cand = cand.where(act.contains(SENATE) | act.contains(HOUSE))
+    first = cand.groupBy(*key).agg(
+        F.min(F.struct(*[F.col(c) for c in order_cols], act.contains(SENATE).alias("_sen")))["_sen"].alias("_first_sen")
+    )
+    same = F.when(F.col("_first_sen"), act.contains(SENATE)).otherwise(act.contains(HOUSE) & ~act.contains(SENATE))
+    return assigned.join(first, key, "left").where(F.col("_first_sen").isNull() | same).drop("_first_sen")
+
+
 def sponsor_features(sponsors: DataFrame, people: DataFrame, key: Sequence[str] = ("bill_id",)) -> DataFrame:
     """bill_id, SponsorCount, RepubSponsorPct (3 digits, half-even).
 

@@ -56,6 +56,14 @@ def test_within_first_option(spark):
     assert _cf(spark, rows, within_first=5)[5].Committee_Intro_Count == 1
 
 
+def test_first_chamber_only_option(spark):
+    rows = [(7, 1, "Assigned to Senate FINANCE Committee"), (7, 2, "Assigned to House EDUCATION Committee"),
+            (7, 3, "Assigned to JOINT Committee")]
+    assert _cf(spark, rows)[7].Committee_Intro_Count == 2                      # literal: both chambers (Q7)
+    r = _cf(spark, rows, first_chamber_only=True)[7]
+    assert r.Committee_Intro_Count == 1 and r.Committees_Concat == " FINANCE"
+
+
 def test_first_row_order_uses_total_order(spark):
     rows = [(6, 2, "Assigned to House FINANCE Committee"), (6, 1, "Assigned to Senate EDUCATION Committee")]
     r = _cf(spark, rows)[6]
