@@ -202,7 +202,7 @@ _TOPIC_MEMO: dict = {}
 
 def _topics(spark: SparkSession, sf_dir: str):
     """The topic stage is fitted once per (session, data dir); its three outputs share the fit."""
-    key = (id(spark), sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _TOPIC_MEMO:
         _TOPIC_MEMO[key] = tp.fit_topics(fx.bills(spark, sf_dir), **TOPIC_GRID)
     return _TOPIC_MEMO[key]
