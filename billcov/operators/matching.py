@@ -230,35 +230,45 @@ def _ymd(d: Column) -> Column:
 def search_manifest(windows: DataFrame, sites: Sequence[SiteSpec], pages: int = SEARCH_PAGES) -> DataFrame:
     """bill_id, site, page, mode, request: the search requests the reference would send.
 
-    Sites are a literal array exploded per bill (no join); own-site searches get one row per page.
+    Key words and date strings are computed once per bill; sites are a literal array exploded per
+    bill (no join); own-site searches get one row per page.
     """
-    raw = F.array_join(F.split(F.col("title"), ";"), " ")
-    kw = search_terms(F.col("title"))
-    upper, lower = F.col("intro_date"), F.col("date_lower")
+    base = windows.select(
+        "bill_id",
+        F.array_join(F.split(F.col("title"), ";"), " ").alias("raw"),
+        search_terms(F.col("title")).alias("kw"),
+        _ymd(F.col("intro_date")).alias("ymd_u"),
+        _ymd(F.col("date_lower")).alias("ymd_l"),
+        F.date_format("intro_date", "MM'%2F'dd'%2F'yyyy").alias("mdy_u"),
+        F.date_format("date_lower", "MM'%2F'dd'%2F'yyyy").alias("mdy_l"),
+    )
+    raw, kw = F.col("raw"), F.col("kw")
+    and_terms = F.replace(kw, F.lit(" "), F.lit("%20"))
+    or_terms = F.replace(F.replace(kw, F.lit("  "), F.lit(" ")), F.lit(" "), F.lit("%20OR%20"))
+    dates = F.concat(F.lit("%20before%3A"), F.col("ymd_u"), F.lit("%20after%3A"), F.col("ymd_l"))
+
+    def row(site, page, mode, req):
+        return F.struct(F.lit(site).alias("site"), F.lit(page).alias("page"), F.lit(mode).alias("mode"), req.alias("request"))
+
     specs = []
     for s in sites:
         if s.search == "news":
-            dates = F.concat(F.lit("%20before%3A"), _ymd(upper), F.lit("%20after%3A"), _ymd(lower))
             head = F.concat(F.lit(" %20source%3A"), F.lit(s.source), dates, F.lit(NEWS_TAIL))
-            and_q = F.concat(F.lit(NEWS_SEARCH), F.replace(kw, F.lit(" "), F.lit("%20")), head)
-            or_terms = F.replace(F.replace(kw, F.lit("  "), F.lit(" ")), F.lit(" "), F.lit("%20OR%20"))
-            or_q = F.concat(F.lit(NEWS_SEARCH), or_terms, head)
-            specs.append(F.struct(F.lit(s.site).alias("site"), F.lit(0).alias("page"), F.lit("and").alias("mode"), and_q.alias("request")))
-            specs.append(F.struct(F.lit(s.site).alias("site"), F.lit(0).alias("page"), F.lit("or").alias("mode"), or_q.alias("request")))
+            specs.append(row(s.site, 0, "and", F.concat(F.lit(NEWS_SEARCH), and_terms, head)))
+            specs.append(row(s.site, 0, "or", F.concat(F.lit(NEWS_SEARCH), or_terms, head)))
         elif s.site == "azcapitoltimes":
-            mdy = lambda d: F.date_format(d, "MM'%2F'dd'%2F'yyyy")
             for p in range(pages + 1):
                 req = F.concat(
                     F.lit(CAPITOL_SEARCH), F.replace(raw, F.lit(" "), F.lit("+")),
-                    F.lit("&search_category=&date_start="), mdy(lower), F.lit("&date_end="), mdy(upper),
+                    F.lit("&search_category=&date_start="), F.col("mdy_l"), F.lit("&date_end="), F.col("mdy_u"),
                     F.lit(f"&sort=rel&page={p}"),
                 )
-                specs.append(F.struct(F.lit(s.site).alias("site"), F.lit(p).alias("page"), F.lit("and").alias("mode"), req.alias("request")))
+                specs.append(row(s.site, p, "and", req))
         elif s.site == "foxphoenix":
             for p in range(pages + 1):
                 req = F.concat(
                     F.lit(FOX_SEARCH), F.replace(raw, F.lit(" "), F.lit("%20")),
-                    F.lit(f"&sort=relevance&page={p}&from="), _ymd(lower), F.lit("&to="), _ymd(upper),
+                    F.lit(f"&sort=relevance&page={p}&from="), F.col("ymd_l"), F.lit("&to="), F.col("ymd_u"),
                 )
-                specs.append(F.struct(F.lit(s.site).alias("site"), F.lit(p).alias("page"), F.lit("and").alias("mode"), req.alias("request")))
-    return windows.select("bill_id", F.inline(F.array(*specs)))
+                specs.append(row(s.site, p, "and", req))
+    return base.select("bill_id", F.inline(F.array(*specs)))
