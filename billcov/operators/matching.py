@@ -167,7 +167,7 @@ def match_and(windows: DataFrame, sets: DataFrame) -> DataFrame:
     full = cand.join(sets.select("URL", "atokens"), "URL").where(
         F.size(F.array_intersect("atokens", "qtokens")) == F.col("n_q")
     )
-    return full.select("bill_id", "bill_number", "year", "site", "URL", "published", F.col("n_q").alias("matched"))
+    return full.select("bill_id", "bill_number", "year", "site", "URL", "published", F.col("n_q").cast("long").alias("matched"))
 
 
 def match_or(windows: DataFrame, sets: DataFrame, keep_n_q: bool = False) -> DataFrame:
@@ -210,7 +210,7 @@ def cap_results(hits: DataFrame, cap: int) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("bill_id", "site").orderBy(F.desc("matched"), F.desc("published"), F.asc("URL"))
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= cap)
 
 
 # ---- search request manifest (F16) ------------------------------------------------------------
