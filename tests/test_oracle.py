@@ -30,3 +30,16 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[:4] == ["bill_number", "passed", "bill_id", "year"]
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_column_types_match_duckdb(spark, duck, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    rel = duck.execute(f"SELECT * FROM ({ORACLE[name]}) LIMIT 0")
+    duck_types = {d[0]: str(d[1]) for d in rel.description}
+    assert spark_types == duck_types
