@@ -291,3 +291,11 @@ def q_collected_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["collected_articles"] = q_collected_articles
+
+
+def q_bill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bill text extraction (last WordSection2, else Section2) over every stored page."""
+    return hx.extract_bill_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES["bill_text"] = q_bill_text
