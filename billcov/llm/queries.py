@@ -1,4 +1,7 @@
-"""Registered queries of the training-data operators: name -> callable(spark, sf_dir) -> DataFrame."""
+"""Registered queries of the training-data operators: name -> callable(spark, sf_dir) -> DataFrame.
+
+Each applies its operator with production parameters to a whole table.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billcov.llm import exact_dedup, ngram_join, packing, quality_rules
-from billcov.llm.common import table
+from billcov.llm import exact_dedup, license_scan, ngram_join, oracle, packing, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
+from billcov.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +28,26 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans with ownership frequency."""
+    return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a dated domain list, as of their fetch day."""
+    return url_filter.filtered_pages(spark, sf_dir)
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated to tempered source weights, shuffled globally."""
+    return source_mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    return warc_table.digest(warc_table.archived(table(spark, sf_dir, "pages"), shared_folder(spark, "warc")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost-balanced packing; pieces with a checksum of their ids."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
@@ -41,11 +64,34 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and covered template spans."""
+    return license_scan.digest(license_scan.license_spans(table(spark, sf_dir, "documents")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_url_filter": op3_url_filter,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_warc_table": op5_warc_table,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": oracle.OP1,
+    "op2_secret_scan": oracle.OP2,
+    "op3_url_filter": oracle.OP3,
+    "op4_source_mixing": oracle.OP4,
+    "op5_warc_table": oracle.OP5,
+    "op8_exact_dedup": oracle.OP8,
+}
