@@ -17,7 +17,6 @@ other row; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,106 +25,160 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billcov.llm import words as W
+
 SEQ_LEN = 4096
 EOS_ID = 2
 BLOCK_TOKENS = 1 << 20
 #: Relative weights of the cost: at 4096 tokens attention costs as much as the linear layers.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
-#: A worker drops its word cache at this size; it only bounds memory, results don't depend on it.
-CACHE_WORDS = 700_000
-#: Longer texts are tokenised in parts of about so many characters.
-LONG = 1 << 20
+#: A worker starts its table of units anew at this size; it only bounds memory, results don't depend on it.
+TABLE_UNITS = 3_000_000
+RECENT_UNITS = 1 << 16
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-_plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-
-
-class WordTokenizer:
-    """Token ids of whole texts through a cache of space-separated words.
-
-    The vocabulary's splitter never joins characters across white space, so the ids of a text are
-    those of its words in a row; words are separated here at U+0020 and U+000A only, and whatever
-    else stands between is left to the tokenizer.  New words of plain letters are encoded many at a
-    time (each ends with exactly one word-end token, which separates them again); all others one
-    by one.
+#: Classes of bytes: separators (0), letters (1), marks (2), anything else (3).  Marks exclude the
+#: apostrophe, which starts contractions.
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[10, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[ord(c) for c in '.,;:!?*$%&#|<>()"-_/+=@[]{}~^']] = 2
+#: Second bytes of the letters U+00C0 to U+00FF in UTF-8, without the two signs among them.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+
+
+class UnitTokenizer:
+    """Token ids of whole texts through a table of units.
+
+    The vocabulary's splitter keeps letters and marks apart and never joins characters across white
+    space, so the ids of a text are those of its runs of letters and runs of marks in a row.  Words
+    (between U+0020 and U+000A) with any other character are units as a whole, left to the
+    tokenizer as they are.  Letters are lower-cased first, as the vocabulary does.  Units are found
+    and looked up by 64-bit hash with numpy; new runs of letters are encoded many at a time (each
+    ends with exactly one word-end token, which separates them again).
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        size = self.tok.get_vocab_size()
-        self.ends = np.zeros(size, dtype=bool)
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._one(m) for m in ".,;:!?"}
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            self.cores.clear()
-        plain: dict[str, list[tuple[str, str]]] = {}
-        for word in new:
-            core, mark = (word[:-1], word[-1]) if word[-1:] in self.marks else (word, "")
-            if _plain.fullmatch(core):
-                plain.setdefault(core.lower(), []).append((word, mark))
-            else:
-                self.cache[word] = self._one(word) if word else b""
-        fresh = [c for c in plain if c not in self.cores]
-        joined = [fresh[i : i + 200] for i in range(0, len(fresh), 200)]
-        for group, e in zip(joined, self.tok.encode_batch_fast([" ".join(g) for g in joined], add_special_tokens=False)):
+        self._reset()
+
+    def _reset(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.main, self.recent = none, none  # (hash, place in the pool, number of ids), by hash
+        self.pool, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def _keep(self, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes], letters: np.ndarray) -> None:
+        place, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+
+        def alone(which: list[int]) -> None:
+            texts = [units[i].decode("utf-8", "replace") for i in which]
+            for i, e in zip(which, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+                place[i], size[i] = self.used, len(e.ids)
+                self._keep(np.array(e.ids, dtype="<u4"))
+
+        plain = np.flatnonzero(letters).tolist()
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        texts = [b" ".join([units[i] for i in g]).decode() for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and cuts[-1] == len(ids):
-                data, at = ids.tobytes(), 0
-                for core, cut in zip(group, (cuts * 4).tolist()):
-                    self.cores[core] = data[at:cut]
-                    at = cut
-            else:
-                for core in group:
-                    self.cores[core] = self._one(core)
-        for core, words in plain.items():
-            ids = self.cores[core]
-            for word, mark in words:
-                self.cache[word] = ids + self.marks[mark] if mark else ids
-
-    def _ids(self, split: list[list[str]]) -> list[bytes]:
-        words: set[str] = set().union(*split)
-        new = words - self.cache.keys()
-        if new:
-            self._learn(words if len(self.cache) + len(new) > CACHE_WORDS else new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; long texts go through in parts cut at spaces."""
-        if max(map(len, texts), default=0) <= LONG:
-            return self._ids([t.replace("\n", " ").split(" ") for t in texts])
-        out = []
-        for t in texts:
-            t, ids, at = t.replace("\n", " "), [], 0
-            while at < len(t) or not ids:
-                cut = t.find(" ", at + LONG)
-                cut = len(t) if cut < 0 else cut
-                ids += self._ids([t[at:cut].split(" ")])
-                at = cut
-            out.append(b"".join(ids))
-        return out
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
+            if len(cuts) != len(g) or cuts[-1] != len(ids):
+                alone(g)
+                continue
+            first = np.concatenate([[0], cuts[:-1]])
+            place[g], size[g] = self.used + first, cuts - first
+            self._keep(ids)
+        alone(np.flatnonzero(~letters).tolist())
+        old = self.recent
+        at = np.searchsorted(old[0], hashes)
+        self.recent = tuple(np.insert(x, at, y) for x, y in zip(old, (hashes, place, size)))
+        if len(self.recent[0]) > RECENT_UNITS:
+            at = np.searchsorted(self.main[0], self.recent[0])
+            self.main = tuple(np.insert(x, at, y) for x, y in zip(self.main, self.recent))
+            self.recent = tuple(x[:0] for x in self.recent)
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, ...], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(table[0], hashes)
+        at[at == len(table[0])] = 0
+        return at, (table[0][at] == hashes if len(table[0]) else np.zeros(len(hashes), bool))
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents in a slice, back to back, and their bounds by document."""
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        text = raw.tobytes()
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[_LATIN[raw[lead + 1]]]
+        kind = _CLASS[raw]
+        kind[lead] = kind[lead + 1] = 1
+        if any(x in text for x in _SPECIAL):
+            kind[np.isin(raw, np.frombuffer(b"<|>", dtype=np.uint8))] = 3
+        start, end = W.runs(kind > 0, offsets)
+        odd = np.maximum.reduceat(kind, start) == 3 if len(start) else np.zeros(0, bool)
+        if odd.any():  # separators between words are 0 already; each odd word becomes one run of 3
+            mark = np.zeros(len(kind) + 1, np.int8)
+            mark[start[odd]] += 1
+            mark[end[odd]] -= 1
+            kind[np.cumsum(mark[:-1]) > 0] = 3
+        low = W.LOWER[raw]
+        upper = lead + 1
+        upper = upper[raw[upper] < 0x9F]  # U+00DF is lower case
+        low[upper] += 0x20
+        low = np.where(kind == 1, low, raw)
+        edge = np.zeros(len(kind) + 1, bool)
+        edge[offsets] = True
+        edge[1:-1] |= kind[1:] != kind[:-1]
+        edge[0] = edge[-1] = True
+        cut = np.flatnonzero(edge)
+        start, end = cut[:-1], cut[1:]
+        real = kind[start] > 0
+        start, end = start[real], end[real]
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        hashes, first, inverse = np.unique(W.Prefix(low).hash(start, end), return_index=True, return_inverse=True)
+        _, known = self._find(self.main, hashes)
+        _, late = self._find(self.recent, hashes)
+        new = ~(known | late)
+        if new.any():
+            if len(self.main[0]) + len(self.recent[0]) > TABLE_UNITS:
+                self._reset()
+                new = np.ones(len(hashes), bool)
+            data = low.tobytes()
+            at = first[new]
+            self._learn(hashes[new], [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())], kind[start[at]] == 1)
+        place, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for table in (self.main, self.recent):
+            at, ok = self._find(table, hashes)
+            place[ok], size[ok] = table[1][at[ok]], table[2][at[ok]]
+        place, size = place[inverse], size[inverse]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(place - (ends - size), size) + np.arange(total)]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=len(offsets) - 1))]).astype(np.int64)
+        return ids, bounds
+
+
+_tokenizers: dict[str, UnitTokenizer] = {}
+
+
+def tokenizer(path: str) -> UnitTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = UnitTokenizer(path)
     return _tokenizers[path]
 
 
@@ -219,18 +272,19 @@ def pack_documents(
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for name, b in zip(part.column(0).to_pylist(), tok.encode([t or "" for t in part.column(1).to_pylist()])):
+            rows = batch.column(0).to_pylist()
+            for i, raw, offsets in W.slices(batch.column(1)):
+                found, bounds = tok.encode(raw, offsets)
+                for name, a, b in zip(rows[i:], bounds[:-1].tolist(), bounds[1:].tolist()):
                     names.append(name)
-                    ids.append(b + end)
-                    held += len(b) // 4 + 1
+                    ids.append(found[a:b].tobytes() + end)
+                    held += b - a + 1
                     if held >= block_tokens:
                         yield flush()
         if names:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
