@@ -10,12 +10,13 @@ arrays.
    many documents share bring nobody together.  Which shingles count as frequent only changes the
    order, never the result; their list has a fixed bound and is broadcast.
 3. Entries (shingle, class, size) are dealt by shingle in packed arrays.  A shingle with at most
-   ``RUN`` classes gives its pairs of compatible size.  Larger runs, and frequent shingles, are only
-   grouped: classes that share such shingles form a family.
-4. A family is cut into size bands, and a band into blocks of at most ``TILE`` classes; a tile
-   compares two blocks of the same or of neighbouring bands by signatures, then exactly, and
-   skips what it has already joined.  It gives at most one link for each class, which is enough
-   for components.  Pairs from step 3 are tested the same way, one by one.
+   ``RUN`` classes gives its pairs of compatible size, which signatures thin out.  Larger runs, and
+   frequent shingles, are only grouped.  Classes that a remaining pair or a large run connects are
+   a family; linked classes are always of one family.
+4. A family of up to ``TILE`` classes is one tile.  Larger ones are cut into size bands, and bands
+   into blocks; a tile compares two blocks of the same or of neighbouring bands by signatures, then
+   exactly, and skips what it has already joined.  It gives at most one link for each class, which
+   is enough for components.
 5. Links give components by alternating stars.
 
 No step sends all pairs of a group: copies are one class, families give spanning links.  Nothing is
@@ -316,20 +317,6 @@ def _bounded(t: int):
     return run
 
 
-def _exact(t: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ok = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                    ok.append(linked(overlap(x, y), len(x), len(y), t))
-                yield pa.record_batch([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def tile_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: int) -> list[tuple[int, int]]:
     """Spanning links of a tile.  side: 0 and 1 for its two blocks, compared with each other; 2 for one block with itself."""
     m = len(sets)
@@ -381,35 +368,42 @@ def _frequent_shingles(scan: DataFrame, at_least: int, most: int) -> np.ndarray:
     return np.sort(got.astype(np.int64).view(U64))
 
 
-def _families(members: DataFrame) -> DataFrame:
-    """(key, family) of the classes that share a large run."""
+def _stars(members: DataFrame) -> DataFrame:
+    """(u, v) between the classes of a large run and the first of them."""
     hub = members.groupBy("run").agg(F.min("key").alias("hub"), F.max("key").alias("far")).where("hub != far").select(F.col("run").alias("r"), "hub")
-    star = members.join(hub, F.col("run") == F.col("r")).select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-    return components(star).select(F.col("node").alias("key"), F.col("component").alias("family"))
+    return members.join(hub, F.col("run") == F.col("r")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
+
 
+def _spots(classes: DataFrame, t: int, tile: int) -> DataFrame:
+    """(key, family, low, i, high, j, side): the tiles that a class (key, n, family) goes to.
 
-def _tiles(families: DataFrame, sets: DataFrame, t: int, tile: int) -> DataFrame:
-    """Rows (tile key columns, side, key, elements): a class goes to each tile that holds its block."""
+    A family of at most ``tile`` classes is one tile.  Larger ones are cut into size bands, bands
+    into blocks; blocks meet within a band and with those of the next band.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("int")
-    rows = sets.select("key", "n", "elements").join(families, "key").withColumn("band", band)
-    count = rows.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    rows = classes.withColumn("band", band)
+    size = rows.groupBy("family", "band").agg(F.count(F.lit(1)).alias("c"))
+    whole = size.groupBy("family").agg(F.sum("c").alias("all"))
+    count = size.join(whole, "family").select("family", "band", "all", F.ceil(F.col("c") / tile).cast("int").alias("blocks"))
     near = lambda step, name: count.select("family", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
     blocks = count.join(near(1, "above"), ["family", "band"], "left").join(near(-1, "below"), ["family", "band"], "left").fillna(0, ["above", "below"])
     rows = rows.join(blocks, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spot = lambda low, i, j, high, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.alias("side"))
+    spot = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.alias("side"))
     b, me, zero, one, two = F.col("band"), F.col("block"), F.lit(0), F.lit(1), F.lit(2)
     upto = lambda c: F.when(c > 0, F.sequence(zero, c - 1)).otherwise(F.array().cast("array<int>"))
 
     def same(j: Column) -> Column:
-        lo, hi = F.least(me, j), F.greatest(me, j)
-        return spot(b, lo, hi, b, F.when(me == j, two).when(me < j, zero).otherwise(one))
+        return spot(b, F.least(me, j), b, F.greatest(me, j), F.when(me == j, two).when(me < j, zero).otherwise(one))
 
-    spots = F.concat(
+    many = F.concat(
         F.transform(upto(F.col("blocks")), same),
-        F.transform(upto(F.col("above")), lambda j: spot(b, me, j, b + 1, zero)),
-        F.transform(upto(F.col("below")), lambda j: spot(b - 1, j, me, b, one)),
+        F.transform(upto(F.col("above")), lambda j: spot(b, me, b + 1, j, zero)),
+        F.transform(upto(F.col("below")), lambda j: spot(b - 1, j, b, me, one)),
+    )
+    single = F.array(spot(F.lit(-1), zero, F.lit(-1), zero, two))
+    return rows.select("key", "family", F.explode(F.when(F.col("all") <= tile, single).otherwise(many)).alias("s")).select(
+        "key", "family", "s.low", "s.i", "s.high", "s.j", F.col("s.side").cast("long").alias("side")
     )
-    return rows.select("family", F.explode(spots).alias("s"), "key", "elements").select("family", "s.low", "s.i", "s.high", "s.j", F.col("s.side").cast("long").alias("side"), "key", "elements")
 
 
 def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, run_limit: int = RUN, tile: int = TILE, frequent_from: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -425,8 +419,8 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     packed = texts.mapInArrow(_second_pass(shingle, threshold, buckets, frequent), "bucket long, h binary, key binary, n binary")
     found = written(packed.groupBy("bucket").applyInArrow(_bucket(threshold, run_limit), CANDIDATES), "candidates")
     pairs = found.where("a is not null").select("a", "b").distinct()
-    families = written(_families(found.where("run is not null").select("run", "key")), "families")
-    wanted = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(families.select("key")).distinct(), "wanted")
+    members = found.where("run is not null").select("run", "key")
+    wanted = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("key")).distinct(), "wanted")
     # One document stands for its class; its text gives the set again.
     named = documents.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     chosen = sized_broadcast(named.join(wanted, "key").select(F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")), MAX_BROADCAST)
@@ -435,16 +429,12 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if sets.groupBy("key").count().where("count > 1").limit(1).count():  # only rows repeated with their identifier
         sets = written(sets.dropDuplicates(["key"]), "sets")
     small = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    likely = written(
-        pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(_bounded(threshold), "a long, b long"),
-        "likely",
-    )
-    used = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-    elements = sets.select("key", "elements").join(used, "key", "left_semi")
-    full = lambda x: elements.select(F.col("key").alias(x), F.col("elements").alias(f"{x}_el"))
-    direct = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_el", "b_el").mapInArrow(_exact(threshold), "u long, v long")
-    tiles = _tiles(families, sets, threshold, tile).groupBy("family", "low", "i", "high", "j").applyInArrow(_tile(threshold), "u long, v long")
-    return documents, direct.unionByName(tiles)
+    both = pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
+    likely = both.mapInArrow(_bounded(threshold), "u long, v long")
+    families = components(likely.unionByName(_stars(members))).select(F.col("node").alias("key"), F.col("component").alias("family"))
+    spots = written(_spots(sets.select("key", "n").join(families, "key"), threshold, tile), "tiles")
+    placed = sets.select("key", "elements").join(sized_broadcast(spots, MAX_BROADCAST), "key")
+    return documents, placed.groupBy("family", "low", "i", "high", "j").applyInArrow(_tile(threshold), "u long, v long")
 
 
 def ngram_components(docs: DataFrame, **options: object) -> DataFrame:
