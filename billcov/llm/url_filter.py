@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billcov.llm.common import table
+from billcov.llm.common import table, written
 
 LABEL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
@@ -52,7 +52,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``captures`` has page_id, url, fetched (date); ``entries`` has list, domain, day, action.
     """
-    rows = captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", host(F.col("url")).alias("host"), "fetched")
+    # Written once: row numbers must be the same for every later reader.
+    rows = written(captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", host(F.col("url")).alias("host"), "fetched"), "captures")
     span = rows.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))  # one row
     valid = intervals(entries).crossJoin(F.broadcast(span))
     clipped = valid.select("list", "domain", F.greatest("from_day", "lo").alias("from_day"), F.least(F.coalesce("to_day", "hi"), "hi").alias("to_day")).where("from_day <= to_day")
