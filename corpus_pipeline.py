@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's rows to
 a table in the shared folder and hands that to the next one, so a lost executor repeats at most one
-stage.  All stages but the last return the columns of ``documents``.
+stage.  All stages but the last return the columns of ``documents``; source mixing repeats rows.
+
+Defined cases are those of the operators; a stage that gets no rows returns none.
 """
 
 from __future__ import annotations
@@ -11,15 +13,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billcov.llm import exact_dedup, packing, quality_rules
+from billcov.llm import exact_dedup, ngram_join, packing, quality_rules, source_mixing
 from billcov.llm.common import table, written
 from billcov.llm.queries import word_tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near duplicates: five words, a similarity of 0.8 or more.
+NEAR_SHINGLE, NEAR_THRESHOLD = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: rejected documents go."""
+    """Operator 7: rejected documents go.  Texts stay as they are, so that copies on other hosts stay equal."""
     return quality_rules.kept_documents(docs)
 
 
@@ -28,14 +33,26 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of each group of near copies the document with the smallest identifier stays."""
+    return ngram_join.one_of_each(docs, shingle=NEAR_SHINGLE, threshold=NEAR_THRESHOLD)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents repeated to the sources' target weights, shuffled."""
+    return source_mixing.mixed(docs).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: pieces of token sequences."""
+    """Operator 6: pieces of token sequences, with their ids."""
     return packing.pack_documents(docs, word_tokenizer_path())
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
     ("exact_dedup", exact),
+    ("ngram_join", near),
+    ("source_mixing", mix),
     ("packing", pack),
 ]
 
