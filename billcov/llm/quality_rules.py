@@ -4,16 +4,17 @@ Method: lines are normalised (A-Z lower-cased, white space collapsed) and hashed
 distinct documents that hold a line are counted; lines above the limit are removed, and a document
 is rejected when too little of it remains.  Base rules on the single text come first.
 
-Copies must not make clean text look like boilerplate: a crawl holds whole documents many times, and
-then every one of their lines is frequent.  Distinct documents are therefore counted by what stands
-around the line: a line counts once for each different companion, the document's line of smallest
-hash other than itself.  Exact copies, and nearly all near copies, share the companion; a banner
-that stands on many different pages has many.  (A line that is alone in its documents has no
-companion and counts once: such documents are copies, which deduplication handles.)
-
-Scale: texts are read once and never shuffled; what moves is a row (host, line, companion) for each
-distinct line of a document, first grouped by all three, so neither a hot host nor a hot line lands
-in one task, then counted with partial sums.  Frequent lines meet the documents' lines in an
+Copies must not make clean text look like boilerplate: a crawl holds whole documents many times,
+exactly or with small edits, and then every one of their lines is frequent.  A document is therefore
+known to a line by its *companion*, the smallest hash of three words in a row outside the line: copies
+share it, and most near copies do, while a banner that stands on many different pages has many.  A
+line is above the limit when it has more than ``MAX_DOCS_PER_HOST`` companions, and these make up at
+least ``MIN_DISTINCT_PERCENT`` of the different texts that hold it.  (A line that is alone in its
+documents counts once: such documents are copies, which deduplication handles.)
+
+Scale: texts are read once and never shuffled; what moves is a row (host, line, companion, text hash)
+for each distinct line of a document, first grouped by all four, so neither a hot host nor a hot line
+lands in one task, then counted with partial sums.  Frequent lines meet the documents' lines in an
 equi-join that Spark can split.
 
 Defined cases: null texts have no words (n_words 0, base_failed); a null host is a host of its own;
@@ -36,19 +37,24 @@ from billcov.llm.common import written
 
 #: A line that stands in more distinct documents of a host than this is boilerplate.
 MAX_DOCS_PER_HOST = 20
+MIN_DISTINCT_PERCENT = 50
 #: Shorter lines (in words) are left alone: single words recur by chance.
 MIN_LINE_WORDS = 3
 #: A document is depleted when less than this share (percent) of its words remains.
-MIN_REMAINING_PERCENT = 30
+MIN_REMAINING_PERCENT = 20
 #: Base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 SCAN = (
-    "rid long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "rid long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, "
     "lines array<struct<line: long, companion: long, words: long>>"
 )
 
+#: Words in a row that make a companion; no hash.
+COMPANION_WORDS = 3
+NONE = np.uint64(2**64 - 1)
+
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -78,6 +84,13 @@ def line_hashes(low: W.Words, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     return W.mix(np.add.reduceat(low.hash * weight, at)).view(np.int64)
 
 
+def _smallest_outside(x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Smallest of a document's window hashes ``x`` (by first word) that have no word in [start, stop), or NONE."""
+    ahead = np.concatenate([[NONE], np.minimum.accumulate(x)])
+    behind = np.concatenate([np.minimum.accumulate(x[::-1])[::-1], [NONE]])
+    return np.minimum(ahead[np.maximum(start - COMPANION_WORDS + 1, 0)], behind[np.minimum(stop, len(x))])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rid = TaskContext.get().partitionId() << 40
     for batch in batches:
@@ -104,15 +117,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dup = np.bincount(doc, minlength=n) - np.bincount(doc[fresh], minlength=n)
             low = W.words_of(W.LOWER[raw], offsets)
             norm, size = line_hashes(low, at, end), end - at
+            text = prefix.hash(offsets[:-1], offsets[1:]).view(np.int64)
+            near, window = W.windows(low, COMPANION_WORDS)
+            cut = np.searchsorted(w.doc[near], np.arange(n + 1))
+            begin_word = np.searchsorted(w.doc, np.arange(n))
             out = []
             bounds = np.searchsorted(doc, np.arange(n + 1))
             for d in range(n):
                 a, b = bounds[d], bounds[d + 1]
                 u, inv = np.unique(norm[a:b], return_inverse=True)
                 total = np.bincount(inv, weights=size[a:b], minlength=len(u)).astype(np.int64)
-                mate = np.full(len(u), u[0] if len(u) else 0)
-                if len(u):
-                    mate[0] = u[1] if len(u) > 1 else u[0]
+                mate = u.copy()  # of a line that is alone
+                x = window[cut[d] : cut[d + 1]]
+                if len(x):
+                    other = _smallest_outside(x, at[a:b] - begin_word[d], end[a:b] - begin_word[d])
+                    least = np.full(len(u), NONE)
+                    np.minimum.at(least, inv, other)
+                    mate[least != NONE] = least[least != NONE].view(np.int64)
                 out.append([{"line": x, "companion": c, "words": t} for x, c, t in zip(u.tolist(), mate.tolist(), total.tolist())])
             part = batch.slice(i, n)
             yield pa.record_batch(
@@ -125,9 +146,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(symbols, pa.int64()),
                     pa.array(dup, pa.int64()),
                     pa.array(repeat, pa.int64()),
+                    pa.array(text, pa.int64()),
                     pa.array(out, pa.list_(pa.struct([("line", pa.int64()), ("companion", pa.int64()), ("words", pa.int64())]))),
                 ],
-                names=["rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+                names=["rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines"],
             )
             rid += n
 
@@ -139,6 +161,7 @@ def quality_rules(
     host_col: str = "source",
     text_col: str = "text",
     max_docs_per_host: int = MAX_DOCS_PER_HOST,
+    min_distinct_percent: int = MIN_DISTINCT_PERCENT,
     min_line_words: int = MIN_LINE_WORDS,
     min_remaining_percent: int = MIN_REMAINING_PERCENT,
 ) -> DataFrame:
@@ -147,13 +170,15 @@ def quality_rules(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scan, SCAN),
         "line-scan",
     )
-    lines = scan.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.*").where(F.col("words") >= min_line_words)
+    lines = scan.select("rid", "host", "text_hash", F.explode("lines").alias("l")).select("rid", "host", "text_hash", "l.*").where(F.col("words") >= min_line_words)
     frequent = (
-        lines.groupBy("host", "line", "companion")
+        lines.groupBy("host", "line", "companion", "text_hash")
         .agg(F.lit(1).alias("one"))
+        .groupBy("host", "line", "companion")
+        .agg(F.count(F.lit(1)).alias("texts"))
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_docs_per_host)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
+        .where((F.col("n") > max_docs_per_host) & (100 * F.col("n") >= min_distinct_percent * F.col("texts")))
         .select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     )
     removed = (
@@ -161,7 +186,7 @@ def quality_rules(
         .groupBy("rid")
         .agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
     )
-    out = scan.drop("lines").join(removed, "rid", "left")
+    out = scan.drop("lines", "text_hash").join(removed, "rid", "left")
     gone = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - gone) < min_remaining_percent * F.col("n_words")
