@@ -170,17 +170,18 @@ nq AS (SELECT bill_id, count(*) AS n_q FROM qt GROUP BY bill_id),
 atok AS (SELECT DISTINCT URL, site, published, t AS token
        FROM (SELECT URL, site, published, unnest(regexp_split_to_array(lower(concat_ws(' ', Title, Text)), {split})) AS t
              FROM articles WHERE contains(URL, site) AND published IS NOT NULL)
-       WHERE t <> '' AND t NOT IN ({stop})),
+       WHERE t IN (SELECT token FROM qt)),
 pairs AS (SELECT w.bill_id, w.bill_number, w.year, atok.site, atok.URL, atok.published, count(*) AS m
           FROM qt JOIN atok USING (token) JOIN w ON w.bill_id = qt.bill_id
           WHERE atok.published BETWEEN w.date_lower AND w.intro_date
           GROUP BY ALL),
-and_hits AS (SELECT p.bill_id, p.bill_number, p.year, p.site, p.URL, p.published, p.m AS matched
-             FROM pairs p JOIN nq USING (bill_id) WHERE p.m = nq.n_q),
-fb AS (SELECT bill_id, bill_number, year, site, URL, published, matched, 'and' AS mode FROM and_hits
-       UNION ALL
-       SELECT p.bill_id, p.bill_number, p.year, p.site, p.URL, p.published, p.m AS matched, 'or' AS mode FROM pairs p
-       WHERE NOT EXISTS (SELECT 1 FROM and_hits a WHERE a.bill_id = p.bill_id AND a.site = p.site))"""
+scored AS MATERIALIZED (
+  SELECT p.*, p.m = nq.n_q AS is_and, bool_or(p.m = nq.n_q) OVER (PARTITION BY p.bill_id, p.site) AS any_and
+  FROM pairs p JOIN nq USING (bill_id)),
+and_hits AS (SELECT bill_id, bill_number, year, site, URL, published, m AS matched FROM scored WHERE is_and),
+fb AS (SELECT bill_id, bill_number, year, site, URL, published, m AS matched,
+              CASE WHEN is_and THEN 'and' ELSE 'or' END AS mode
+       FROM scored WHERE is_and OR NOT any_and)"""
     views = ("bills", "history", "articles")
     q: dict[str, str] = {}
     q["intro_window"] = with_views(r"""WITH
