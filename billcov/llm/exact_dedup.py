@@ -34,8 +34,9 @@ from billcov.llm.common import written
 
 #: Bytes of text of a block that is collapsed before the shuffle.
 BLOCK_BYTES = 24 << 20
-#: Bytes of edge labels that a partition's trie holds in memory.
-TRIE_BYTES = 96 << 20
+#: Bytes that a partition's trie holds in memory: edge labels, and so many for each node.
+TRIE_BYTES = 160 << 20
+NODE_BYTES = 450
 
 _SPACES = b" \t\n\v\f\r"
 
@@ -91,8 +92,7 @@ class RadixTrie:
             if edge is None:
                 leaf = _Node()
                 node.edges[b[at]] = (b[at:], leaf)
-                self.held += len(b) - at
-                self.bytes_below[top] = self.bytes_below.get(top, 0) + len(b) - at
+                self._grow(top, len(b) - at + NODE_BYTES)
                 node = leaf
                 break
             label, child = edge
@@ -103,11 +103,16 @@ class RadixTrie:
             mid = _Node()
             mid.edges[label[k]] = (label[k:], child)
             node.edges[b[at]] = (label[:k], mid)
+            self._grow(top, NODE_BYTES)
             at, node = at + k, mid
         if node.terminal < 0:
             node.terminal = new()
         return node.terminal
 
+    def _grow(self, top: int, size: int) -> None:
+        self.held += size
+        self.bytes_below[top] = self.bytes_below.get(top, 0) + size
+
     def spill_largest(self) -> None:
         """Move the largest subtree of the root to a file."""
         top = max(self.bytes_below, key=self.bytes_below.__getitem__)

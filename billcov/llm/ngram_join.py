@@ -50,8 +50,9 @@ SHINGLE = 4
 THRESHOLD = 85
 #: Largest number of classes of a shingle whose pairs are listed.
 RUN = 64
-#: Classes in a block of a tile.
+#: Classes, and shingles of these, in a block of a tile, on average.
 TILE = 2048
+TILE_SHINGLES = 4 << 20
 #: A shingle is frequent from so many prefix entries on; the list keeps the most frequent ones.
 FREQUENT = 16
 MAX_FREQUENT = 1 << 20
@@ -382,9 +383,10 @@ def _spots(classes: DataFrame, t: int, tile: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("int")
     rows = classes.withColumn("band", band)
-    size = rows.groupBy("family", "band").agg(F.count(F.lit(1)).alias("c"))
-    whole = size.groupBy("family").agg(F.sum("c").alias("all"))
-    count = size.join(whole, "family").select("family", "band", "all", F.ceil(F.col("c") / tile).cast("int").alias("blocks"))
+    load = F.greatest(F.count(F.lit(1)) / tile, F.sum("n") / TILE_SHINGLES)  # in blocks
+    size = rows.groupBy("family", "band").agg(load.alias("load"))
+    whole = size.groupBy("family").agg(F.sum("load").alias("all"))
+    count = size.join(whole, "family").select("family", "band", "all", F.ceil("load").cast("int").alias("blocks"))
     near = lambda step, name: count.select("family", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
     blocks = count.join(near(1, "above"), ["family", "band"], "left").join(near(-1, "below"), ["family", "band"], "left").fillna(0, ["above", "below"])
     rows = rows.join(blocks, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -401,7 +403,7 @@ def _spots(classes: DataFrame, t: int, tile: int) -> DataFrame:
         F.transform(upto(F.col("below")), lambda j: spot(b - 1, j, b, me, one)),
     )
     single = F.array(spot(F.lit(-1), zero, F.lit(-1), zero, two))
-    return rows.select("key", "family", F.explode(F.when(F.col("all") <= tile, single).otherwise(many)).alias("s")).select(
+    return rows.select("key", "family", F.explode(F.when(F.col("all") <= 1, single).otherwise(many)).alias("s")).select(
         "key", "family", "s.low", "s.i", "s.high", "s.j", F.col("s.side").cast("long").alias("side")
     )
 
