@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcov.functions.sizing import sized_broadcast
+from billcov.llm.common import written
 
 SEED = 20_240
 #: Target share of a source: its characters to this power, over the sum of all (1: as is; 0: uniform).
@@ -53,9 +54,10 @@ def rates(docs: DataFrame, *, source_col: str = "source", text_col: str = "text"
     else:
         want = weights.select(F.col("src").alias("w_src"), F.col("weight").cast("double").alias("weight"))
         have = have.join(want, F.col("src").eqNullSafe(F.col("w_src")), "left").drop("w_src").withColumn("weight", F.when((F.col("weight") > 0) & (F.col("chars") > 0), F.col("weight")).otherwise(0.0))
-    total = have.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars")).otherwise(0.0)
-    return have.crossJoin(F.broadcast(total)).select("src", "chars", F.round(rate, 9).alias("rate"))  # total is one row
+    have = written(have, "source-sizes")
+    all_chars, all_weight = have.agg(F.sum("chars"), F.sum("weight")).first()
+    rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(all_weight) * F.lit(all_chars) / F.col("chars")).otherwise(0.0)
+    return have.select("src", "chars", F.round(rate, 9).alias("rate"))
 
 
 def _distribution(rate: Column) -> Column:

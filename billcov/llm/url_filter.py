@@ -54,9 +54,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     # Written once: row numbers must be the same for every later reader.
     rows = written(captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", host(F.col("url")).alias("host"), "fetched"), "captures")
-    span = rows.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))  # one row
-    valid = intervals(entries).crossJoin(F.broadcast(span))
-    clipped = valid.select("list", "domain", F.greatest("from_day", "lo").alias("from_day"), F.least(F.coalesce("to_day", "hi"), "hi").alias("to_day")).where("from_day <= to_day")
+    lo, hi = (F.lit(x).cast("date") for x in rows.agg(F.min("fetched"), F.max("fetched")).first())
+    valid = intervals(entries)
+    clipped = valid.select("list", "domain", F.greatest("from_day", lo).alias("from_day"), F.least(F.coalesce("to_day", hi), hi).alias("to_day")).where("from_day <= to_day")
     monthly = clipped.select("list", "domain", "from_day", "to_day", F.explode(F.sequence(F.trunc("from_day", "month"), F.trunc("to_day", "month"), F.expr("interval 1 month"))).alias("month"))
     keys = rows.where("host is not null and fetched is not null").select("rid", "fetched", F.explode(domains(F.col("host"))).alias("k_domain"), F.trunc("fetched", "month").alias("k_month"))
     hits = (
