@@ -289,7 +289,11 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay.  Rows are told apart by identifier; of rows repeated byte for byte one stays."""
+    """The rows of ``docs`` that stay.
+
+    Rows are told apart by identifier and text: of rows repeated byte for byte one stays, and of rows
+    without an identifier one of each text, if any of them stays.
+    """
     from pyspark.sql import Window
 
     kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))

@@ -15,8 +15,8 @@ identifier and copy.
 
 Defined cases: a null source is a source of its own; sources without text (or without a positive
 weight) have rate 0; null texts count as empty; null identifiers hash as the word null, and repeated
-identifiers draw the same count; clashing extra columns are kept as they are; an empty table gives
-no rows.
+identifiers draw the same count; extra columns stay, but for ones named mix_copy, mix_copies or
+mix_order, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,16 +86,16 @@ def mixed(
     """The rows of ``docs`` repeated to the target weights and shuffled, with mix_copy, mix_copies, mix_order."""
     rate = rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    table = rate.where("rate > 0").select(F.col("src").alias("_src"), parts.alias("_parts"), _distribution(F.col("rate") / parts).alias("_cdf"))
-    known = docs.join(sized_broadcast(table, MAX_BROADCAST_SOURCES), docs[source_col].eqNullSafe(table["_src"]))
+    table = rate.where("rate > 0").select(F.col("src").alias("__mix_src"), parts.alias("__mix_parts"), _distribution(F.col("rate") / parts).alias("__mix_cdf"))
+    known = docs.join(sized_broadcast(table, MAX_BROADCAST_SOURCES), docs[source_col].eqNullSafe(table["__mix_src"]))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
 
     def draw(j: Column) -> Column:
         u = uniform(F.lit(str(seed)), name, j.cast("string"))
-        return F.size(F.filter("_cdf", lambda c: c <= u))
+        return F.size(F.filter("__mix_cdf", lambda c: c <= u))
 
-    count = F.when(F.col("_parts") == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda a, j: a + draw(j)))
-    many = known.withColumn("mix_copies", count).where("mix_copies > 0").drop("_src", "_parts", "_cdf")
+    count = F.when(F.col("__mix_parts") == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("__mix_parts") - 1), F.lit(0), lambda a, j: a + draw(j)))
+    many = known.withColumn("mix_copies", count).where("mix_copies > 0").drop("__mix_src", "__mix_parts", "__mix_cdf")
     many = many.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("mix_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
     many = many.withColumn("mix_order", order)
