@@ -20,7 +20,6 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -128,11 +127,14 @@ class RadixTrie:
 
 
 class _Spill:
-    """Strings (from the trie's depth on) of one subtree: known terminals first, then later rows."""
+    """Strings (from the trie's depth on) of one subtree: known terminals first, then later rows.
+
+    The file is scratch of this task alone, without a name: it is gone when the task is, however that
+    ends, and a task that runs again makes its own.
+    """
 
     def __init__(self) -> None:
-        fd, self.path = tempfile.mkstemp(prefix="trie-")
-        self.file = os.fdopen(fd, "wb")
+        self.file = tempfile.TemporaryFile()
         self.common: bytes | None = None
 
     def add(self, b: bytes, terminal: int, row: tuple | None) -> None:
@@ -143,16 +145,13 @@ class _Spill:
         pickle.dump((b, terminal, row), self.file, pickle.HIGHEST_PROTOCOL)
 
     def rows(self) -> Iterator[tuple[bytes, int, tuple | None]]:
-        self.file.close()
-        try:
-            with open(self.path, "rb") as f:
-                while True:
-                    try:
-                        yield pickle.load(f)
-                    except EOFError:
-                        return
-        finally:
-            os.unlink(self.path)
+        self.file.seek(0)
+        with self.file as f:
+            while True:
+                try:
+                    yield pickle.load(f)
+                except EOFError:
+                    return
 
 
 def answer(rows: Iterator[tuple[bytes, tuple]], new: Callable[[], int], budget: int) -> Iterator[tuple[int, tuple]]:
