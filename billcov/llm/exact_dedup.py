@@ -29,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billcov.llm import words as W
 from billcov.llm.common import written
 
 #: Bytes of text of a block that is collapsed before the shuffle.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes that a partition's trie holds in memory: edge labels, and so many for each node.
 TRIE_BYTES = 160 << 20
 NODE_BYTES = 450
@@ -270,8 +271,8 @@ def _owners(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    local = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_local, LOCAL)
-    owned = written(local.repartition("n_bytes", "sha").mapInArrow(_owners(trie_bytes), OWNED), "trie-owners")
+    local = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(W.tidied(_local), LOCAL)
+    owned = written(local.repartition("n_bytes", "sha").mapInArrow(W.tidied(_owners(trie_bytes)), OWNED), "trie-owners")
     rows = owned.where("members is not null").select("handle", "uid", "members")
     owners = owned.where("members is null").select("handle", "owner", "owner_uid", "owner_pos", "size", F.lower(F.hex("sha")).alias("text_sha256"))
     return (

@@ -266,7 +266,7 @@ def license_spans(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, places (base phrases by word), spans (covered templates)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_scan((templates, phrases, min_match, max_gap, min_covered)), SPANS)
+    return rows.mapInArrow(W.tidied(_scan((templates, phrases, min_match, max_gap, min_covered))), SPANS)
 
 
 def digest(found: DataFrame) -> DataFrame:

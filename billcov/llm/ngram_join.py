@@ -412,13 +412,13 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(documents: doc_id, n, key; links: u, v between keys of classes) with 100 * overlap >= threshold * union."""
     spark = docs.sparkSession
     texts = _docs(docs, id_col, text_col)
-    scan = written(texts.mapInArrow(_first_pass(shingle, threshold), "doc_id long, n long, key long, shingle long, count long"), "shingle-scan")
+    scan = written(texts.mapInArrow(W.tidied(_first_pass(shingle, threshold)), "doc_id long, n long, key long, shingle long, count long"), "shingle-scan")
     documents = scan.where("n is not null").select("doc_id", "n", "key")
     frequent = spark.sparkContext.broadcast(_frequent_shingles(scan, frequent_from, MAX_FREQUENT))
     total = documents.agg(F.sum("n")).first()[0] or 0
     entries = total * (100 - threshold) // 100 + 1
     buckets = 1 << max(6, (entries // BUCKET_ENTRIES).bit_length())
-    packed = texts.mapInArrow(_second_pass(shingle, threshold, buckets, frequent), "bucket long, h binary, key binary, n binary")
+    packed = texts.mapInArrow(W.tidied(_second_pass(shingle, threshold, buckets, frequent)), "bucket long, h binary, key binary, n binary")
     found = written(packed.groupBy("bucket").applyInArrow(_bucket(threshold, run_limit), CANDIDATES), "candidates")
     pairs = found.where("a is not null").select("a", "b").distinct()
     members = found.where("run is not null").select("run", "key")
@@ -427,12 +427,12 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     named = documents.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     chosen = sized_broadcast(named.join(wanted, "key").select(F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")), MAX_BROADCAST)
     again = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("text", "rep_key")
-    sets = written(again.select("text").mapInArrow(_sets_pass(shingle), "key long, n long, bits binary, elements binary"), "sets")
+    sets = written(again.select("text").mapInArrow(W.tidied(_sets_pass(shingle)), "key long, n long, bits binary, elements binary"), "sets")
     if sets.groupBy("key").count().where("count > 1").limit(1).count():  # only rows repeated with their identifier
         sets = written(sets.dropDuplicates(["key"]), "sets")
     small = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
     both = pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
-    likely = both.mapInArrow(_bounded(threshold), "u long, v long")
+    likely = both.mapInArrow(W.tidied(_bounded(threshold)), "u long, v long")
     families = components(likely.unionByName(_stars(members))).select(F.col("node").alias("key"), F.col("component").alias("family"))
     spots = written(_spots(sets.select("key", "n").join(families, "key"), threshold, tile), "tiles")
     placed = sets.select("key", "elements").join(sized_broadcast(spots, MAX_BROADCAST), "key")

@@ -34,8 +34,8 @@ BLOCK_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
 #: A worker starts its table of units anew at this size; it only bounds memory, results don't depend on it.
-TABLE_UNITS = 3_000_000
-RECENT_UNITS = 1 << 16
+TABLE_UNITS = 1_000_000
+RECENT_UNITS = 1 << 15
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -284,7 +284,7 @@ def pack_documents(
         if names:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(W.tidied(run), PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def train(
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(label_id))).groupBy(F.col(label_id).cast("long").alias("l_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     known = sized_broadcast(known, MAX_BROADCAST_LABELS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(known, F.col("doc_id") == F.col("l_id"))
-    counts = rows.select("text", "label").mapInArrow(_count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # DIMS + 1 rows at most
+    counts = rows.select("text", "label").mapInArrow(W.tidied(_count), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # DIMS + 1 rows at most
     table = np.zeros((2, DIMS + 1))
     at = counts.column("feature").to_numpy()
     table[0, at], table[1, at] = counts.column("n0").to_numpy(), counts.column("n1").to_numpy()
@@ -199,7 +199,7 @@ def train(
     some = rows.withColumn("place", place)
     if share < 1:
         some = some.where(F.col("place") < int(-(2**63) + share * 2**64))
-    got = some.select("text", "label", "place").mapInArrow(_featured, "features array<int>, label long, place long").orderBy("place").limit(most).toArrow()
+    got = some.select("text", "label", "place").mapInArrow(W.tidied(_featured), "features array<int>, label long, place long").orderBy("place").limit(most).toArrow()
     feats = [x.values.to_numpy() for x in got.column("features")]
     y = got.column("label").to_numpy()
     cut = max(1, len(y) * fit_rows // most)
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([batch.column(0).slice(i, len(s)), batch.column(1).slice(i, len(s)), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= SCORE_THRESHOLD).cast("int"))
+    return rows.mapInArrow(W.tidied(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= SCORE_THRESHOLD).cast("int"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:

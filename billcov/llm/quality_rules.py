@@ -167,7 +167,7 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: the counts, base_failed, n_removed_words, removed_lines (hashes), kept."""
     scan = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scan, SCAN),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text")).mapInArrow(W.tidied(_scan), SCAN),
         "line-scan",
     )
     lines = scan.select("rid", "host", "text_hash", F.explode("lines").alias("l")).select("rid", "host", "text_hash", "l.*").where(F.col("words") >= min_line_words)
@@ -226,7 +226,7 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id
 
     schema = both.drop("_gone").schema
     assert kind.simpleString() == "string"
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(W.tidied(run), schema)
 
 
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
