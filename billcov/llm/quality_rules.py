@@ -5,17 +5,26 @@ distinct documents that hold a line are counted; lines above the limit are remov
 is rejected when too little of it remains.  Base rules on the single text come first.
 
 Copies must not make clean text look like boilerplate: a crawl holds whole documents many times,
-exactly or with small edits, and then every one of their lines is frequent.  A document is therefore
-known to a line by its *companion*, the smallest hash of three words in a row outside the line: copies
-share it, and most near copies do, while a banner that stands on many different pages has many.  A
-line is above the limit when it has more than ``MAX_DOCS_PER_HOST`` companions, and these make up at
-least ``MIN_DISTINCT_PERCENT`` of the different texts that hold it.  (A line that is alone in its
-documents counts once: such documents are copies, which deduplication handles.)
-
-Scale: texts are read once and never shuffled; what moves is a row (host, line, companion, text hash)
-for each distinct line of a document, first grouped by all four, so neither a hot host nor a hot line
-lands in one task, then counted with partial sums.  Frequent lines meet the documents' lines in an
-equi-join that Spark can split.
+exactly or with small edits, and then every one of their lines is frequent.  Copies are therefore
+folded before counting, by one key of the whole document.  Equal texts are one document.  Of the
+texts that hold a line above the limit, each line is sketched by the ``SKETCH`` smallest hashes of
+its windows of three words in a row; a window is shared if more texts of the host than the limit hold
+it, and a line is the document's *own* if fewer than about half of its sketch are shared.  The key is
+the smallest window that is not shared in the document's own lines; it never lies in boilerplate or
+in an edited form of it.  Copies of few edits have no own line, as their edited lines still
+hold shared windows: their key is the line held by the fewest texts, a line of the text copied rather
+than of a template around it.  A line is above the limit when documents of more than
+``MAX_DOCS_PER_HOST`` keys hold it, and at least ``MIN_DISTINCT_PERCENT`` as many as texts.
+
+Limits of the folding: a middle word edited in a line of at most five words makes it an own line; a
+copy with a new line of its own counts as a document; a page that differs from many others in single
+words only is a copy of them.
+
+Scale: texts are read once and never shuffled; what moves is a row (host, line, text hash) for each
+distinct line of a document, first grouped by all three, so neither a hot host nor a hot line lands
+in one task, then counted with partial sums.  Windows move for one document of each different text
+that holds a line above the limit.  Frequent lines and windows meet the documents' in equi-joins that
+Spark can split.
 
 Defined cases: null texts have no words (n_words 0, base_failed); a null host is a host of its own;
 rows are told apart by position, so repeated rows and null identifiers each get a row (and the same
@@ -25,6 +34,8 @@ verdict); extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +59,12 @@ MAX_REPEAT_PERCENT = 50
 
 SCAN = (
     "rid long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, "
-    "lines array<struct<line: long, companion: long, words: long>>"
+    "lines array<struct<line: long, words: long, sketch: array<long>>>"
 )
 
-#: Words in a row that make a companion; no hash.
-COMPANION_WORDS = 3
-NONE = np.uint64(2**64 - 1)
+#: Words in a row that make a window, and windows that make a line's sketch.
+WINDOW_WORDS = 3
+SKETCH = 8
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -84,11 +95,39 @@ def line_hashes(low: W.Words, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     return W.mix(np.add.reduceat(low.hash * weight, at)).view(np.int64)
 
 
-def _smallest_outside(x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Smallest of a document's window hashes ``x`` (by first word) that have no word in [start, stop), or NONE."""
-    ahead = np.concatenate([[NONE], np.minimum.accumulate(x)])
-    behind = np.concatenate([np.minimum.accumulate(x[::-1])[::-1], [NONE]])
-    return np.minimum(ahead[np.maximum(start - COMPANION_WORDS + 1, 0)], behind[np.minimum(stop, len(x))])
+def _sketches(low: W.Words, at: np.ndarray, end: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, hashes) of the ``SKETCH`` smallest different windows in each line; of a line without windows, its hash."""
+    n = len(at)
+    line = np.repeat(np.arange(n), end - at)
+    first, h = W.windows(low, WINDOW_WORDS)
+    inside = line[first] == line[first + WINDOW_WORDS - 1]
+    bare = np.flatnonzero(end - at < WINDOW_WORDS)
+    of, h = np.concatenate([line[first[inside]], bare]), np.concatenate([h[inside], norm[bare].view(np.uint64)])
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    fresh = np.ones(len(of), dtype=bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    of, h = of[fresh], h[fresh]
+    taken = np.arange(len(of)) - np.searchsorted(of, np.arange(n))[of] < SKETCH
+    of, h = of[taken], h[taken]
+    return np.searchsorted(of, np.arange(n + 1)), h.view(np.int64)
+
+
+def _distinct_lines(doc: np.ndarray, norm: np.ndarray, size: np.ndarray, bounds: np.ndarray, sketch: np.ndarray, n: int) -> pa.Array:
+    """For each document its different lines, by hash, with all their words and their sketches."""
+    order = np.lexsort((norm, doc))
+    d, h = doc[order], norm[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    words = np.add.reduceat(size[order], at) if len(at) else np.zeros(0, np.int64)
+    one = order[at]
+    count = bounds[one + 1] - bounds[one]
+    ends = np.cumsum(count)
+    pick = np.arange(int(count.sum())) + np.repeat(bounds[one] - (ends - count), count)
+    sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sketch[pick], pa.int64()))
+    lines = pa.StructArray.from_arrays([pa.array(h[at], pa.int64()), pa.array(words, pa.int64()), sketches], names=["line", "words", "sketch"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(d[at], np.arange(n + 1)), pa.int32()), lines)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,23 +157,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = W.words_of(W.LOWER[raw], offsets)
             norm, size = line_hashes(low, at, end), end - at
             text = prefix.hash(offsets[:-1], offsets[1:]).view(np.int64)
-            near, window = W.windows(low, COMPANION_WORDS)
-            cut = np.searchsorted(w.doc[near], np.arange(n + 1))
-            begin_word = np.searchsorted(w.doc, np.arange(n))
-            out = []
-            bounds = np.searchsorted(doc, np.arange(n + 1))
-            for d in range(n):
-                a, b = bounds[d], bounds[d + 1]
-                u, inv = np.unique(norm[a:b], return_inverse=True)
-                total = np.bincount(inv, weights=size[a:b], minlength=len(u)).astype(np.int64)
-                mate = u.copy()  # of a line that is alone
-                x = window[cut[d] : cut[d + 1]]
-                if len(x):
-                    other = _smallest_outside(x, at[a:b] - begin_word[d], end[a:b] - begin_word[d])
-                    least = np.full(len(u), NONE)
-                    np.minimum.at(least, inv, other)
-                    mate[least != NONE] = least[least != NONE].view(np.int64)
-                out.append([{"line": x, "companion": c, "words": t} for x, c, t in zip(u.tolist(), mate.tolist(), total.tolist())])
+            lines = _distinct_lines(doc, norm, size, *_sketches(low, at, end, norm), n)
             part = batch.slice(i, n)
             yield pa.record_batch(
                 [
@@ -147,13 +170,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(dup, pa.int64()),
                     pa.array(repeat, pa.int64()),
                     pa.array(text, pa.int64()),
-                    pa.array(out, pa.list_(pa.struct([("line", pa.int64()), ("companion", pa.int64()), ("words", pa.int64())]))),
+                    lines,
                 ],
                 names=["rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines"],
             )
             rid += n
 
 
+def _on(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> DataFrame:
+    """Null-safe join on ``names``, which stay once."""
+    other = right.select(*[F.col(c).alias(f"_{c}" if c in names else c) for c in right.columns])
+    return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), how).drop(*[f"_{c}" for c in names])
+
+
+def _keys(scan: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """(host, text_hash, key) of each text in ``hits``: copies share the key."""
+    texts = hits.groupBy("host", "text_hash").agg(F.min("rid").alias("rid"), F.min(F.struct("texts", "line")).alias("rarest"))
+    held = texts.join(scan.select("rid", F.explode("lines").alias("l")), "rid").select("host", "text_hash", "l.line", F.explode("l.sketch").alias("window"))
+    shared = (
+        held.groupBy("host", "window", "text_hash")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("host", "window")
+        .agg(F.count(F.lit(1)).alias("holders"))
+        .where(F.col("holders") > limit)
+    )
+    of_line = (
+        _on(held, shared, "host", "window", how="left")
+        .groupBy("host", "text_hash", "line")
+        .agg(F.count("holders").alias("n_shared"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("holders").isNull(), F.col("window"))).alias("window"))
+    )
+    own = of_line.where(F.col("n_shared") < F.greatest(F.lit(1), F.expr("(n - 1) div 2"))).groupBy("host", "text_hash").agg(F.min("window").alias("own"))
+    return _on(texts, own, "host", "text_hash", how="left").select("host", "text_hash", F.coalesce("own", "rarest.line").alias("key"))
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -170,19 +219,29 @@ def quality_rules(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text")).mapInArrow(W.tidied(_scan), SCAN),
         "line-scan",
     )
-    lines = scan.select("rid", "host", "text_hash", F.explode("lines").alias("l")).select("rid", "host", "text_hash", "l.*").where(F.col("words") >= min_line_words)
-    frequent = (
-        lines.groupBy("host", "line", "companion", "text_hash")
+    lines = scan.select("rid", "host", "text_hash", F.explode("lines").alias("l")).select("rid", "host", "text_hash", "l.line", "l.words").where(F.col("words") >= min_line_words)
+    # Before copies are folded: no other line can be above the limit.
+    common = (
+        lines.groupBy("host", "line", "text_hash")
         .agg(F.lit(1).alias("one"))
-        .groupBy("host", "line", "companion")
+        .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("texts"))
+        .where(F.col("texts") > max_docs_per_host)
+    )
+    hits = written(_on(lines, common, "host", "line"), "common-lines")
+    holding = hits.groupBy("host", "line", "text_hash").agg(F.first("texts").alias("texts"))
+    keys = _keys(scan, hits, max_docs_per_host)
+    frequent = (
+        _on(holding, keys, "host", "text_hash")
+        .groupBy("host", "line", "key")
+        .agg(F.count(F.lit(1)).alias("some"))
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("some").alias("texts"))
         .where((F.col("n") > max_docs_per_host) & (100 * F.col("n") >= min_distinct_percent * F.col("texts")))
-        .select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+        .select("host", "line")
     )
     removed = (
-        lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "inner")
+        _on(hits, frequent, "host", "line")
         .groupBy("rid")
         .agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
     )

@@ -113,6 +113,23 @@ def test_cross_document_lines_match_brute_force(spark):
     assert banner not in clean[0] and texts[0].startswith(clean[0]) and clean[91] is None and clean[70] == texts[70]
 
 
+def one_host(spark, texts):
+    return spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+
+
+def fresh_words(rng, n):
+    return " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("lines, words, own", [(10, 12, 25), (4, 12, 10), (2, 30, 12), (1, 60, 10)])
+def test_templates_of_several_lines_are_removed_from_thin_pages(spark, lines, words, own):
+    rng = random.Random(lines)
+    template = [fresh_words(rng, words) for _ in range(lines)]
+    texts = ["\n".join([*template, fresh_words(rng, own)]) for _ in range(100)]
+    for r in Q.quality_rules(one_host(spark, texts)).collect():
+        assert (r.n_removed_words, r.kept, r.base_failed) == (lines * words, False, False)
+
+
 def test_rules_on_repeated_rows_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, "h"), (1, text, "h"), (None, text, None), (None, None, None)], "doc_id long, text string, source string")
