@@ -14,7 +14,7 @@ the smallest window that is not shared in the document's own lines; it never lie
 in an edited form of it.  Copies of few edits have no own line, as their edited lines still
 hold shared windows: their key is the line held by the fewest texts, a line of the text copied rather
 than of a template around it.  A line is above the limit when documents of more than
-``MAX_DOCS_PER_HOST`` keys hold it, and at least ``MIN_DISTINCT_PERCENT`` as many as texts.
+``MAX_DOCS_PER_HOST`` keys hold it, however many copies there are.
 
 Limits of the folding: a middle word edited in a line of at most five words makes it an own line; a
 copy with a new line of its own counts as a document; a page that differs from many others in single
@@ -48,7 +48,6 @@ from billcov.llm.common import written
 
 #: A line that stands in more distinct documents of a host than this is boilerplate.
 MAX_DOCS_PER_HOST = 20
-MIN_DISTINCT_PERCENT = 50
 #: Shorter lines (in words) are left alone: single words recur by chance.
 MIN_LINE_WORDS = 3
 #: A document is depleted when less than this share (percent) of its words remains.
@@ -59,7 +58,7 @@ MAX_REPEAT_PERCENT = 50
 
 SCAN = (
     "rid long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, "
-    "lines array<struct<line: long, words: long, sketch: array<long>>>"
+    "lines array<struct<line: long, words: long, sketch: array<int>>>"
 )
 
 #: Words in a row that make a window, and windows that make a line's sketch.
@@ -102,7 +101,7 @@ def _sketches(low: W.Words, at: np.ndarray, end: np.ndarray, norm: np.ndarray) -
     first, h = W.windows(low, WINDOW_WORDS)
     inside = line[first] == line[first + WINDOW_WORDS - 1]
     bare = np.flatnonzero(end - at < WINDOW_WORDS)
-    of, h = np.concatenate([line[first[inside]], bare]), np.concatenate([h[inside], norm[bare].view(np.uint64)])
+    of, h = np.concatenate([line[first[inside]], bare]), (np.concatenate([h[inside], norm[bare].view(np.uint64)]) >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((h, of))
     of, h = of[order], h[order]
     fresh = np.ones(len(of), dtype=bool)
@@ -110,7 +109,7 @@ def _sketches(low: W.Words, at: np.ndarray, end: np.ndarray, norm: np.ndarray) -
     of, h = of[fresh], h[fresh]
     taken = np.arange(len(of)) - np.searchsorted(of, np.arange(n))[of] < SKETCH
     of, h = of[taken], h[taken]
-    return np.searchsorted(of, np.arange(n + 1)), h.view(np.int64)
+    return np.searchsorted(of, np.arange(n + 1)), h.view(np.int32)
 
 
 def _distinct_lines(doc: np.ndarray, norm: np.ndarray, size: np.ndarray, bounds: np.ndarray, sketch: np.ndarray, n: int) -> pa.Array:
@@ -125,7 +124,7 @@ def _distinct_lines(doc: np.ndarray, norm: np.ndarray, size: np.ndarray, bounds:
     count = bounds[one + 1] - bounds[one]
     ends = np.cumsum(count)
     pick = np.arange(int(count.sum())) + np.repeat(bounds[one] - (ends - count), count)
-    sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sketch[pick], pa.int64()))
+    sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sketch[pick], pa.int32()))
     lines = pa.StructArray.from_arrays([pa.array(h[at], pa.int64()), pa.array(words, pa.int64()), sketches], names=["line", "words", "sketch"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(d[at], np.arange(n + 1)), pa.int32()), lines)
 
@@ -186,21 +185,19 @@ def _on(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> D
 def _keys(scan: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
     """(host, text_hash, key) of each text in ``hits``: copies share the key."""
     texts = hits.groupBy("host", "text_hash").agg(F.min("rid").alias("rid"), F.min(F.struct("texts", "line")).alias("rarest"))
-    held = texts.join(scan.select("rid", F.explode("lines").alias("l")), "rid").select("host", "text_hash", "l.line", F.explode("l.sketch").alias("window"))
-    shared = (
-        held.groupBy("host", "window", "text_hash")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("host", "window")
-        .agg(F.count(F.lit(1)).alias("holders"))
-        .where(F.col("holders") > limit)
+    held = written(texts.join(scan.select("rid", F.col("lines.sketch").alias("sketches")), "rid"), "held-windows")
+    shared = written(
+        held.select("host", F.explode(F.array_distinct(F.flatten("sketches"))).alias("window")).groupBy("host", "window").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > limit),
+        "shared-windows",
     )
+    windows = held.select("rid", "host", F.posexplode("sketches").alias("line", "sketch")).select("rid", "host", "line", F.explode("sketch").alias("window"))
     of_line = (
-        _on(held, shared, "host", "window", how="left")
-        .groupBy("host", "text_hash", "line")
+        _on(windows, shared, "host", "window", how="left")
+        .groupBy("rid", "line")
         .agg(F.count("holders").alias("n_shared"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("holders").isNull(), F.col("window"))).alias("window"))
     )
-    own = of_line.where(F.col("n_shared") < F.greatest(F.lit(1), F.expr("(n - 1) div 2"))).groupBy("host", "text_hash").agg(F.min("window").alias("own"))
-    return _on(texts, own, "host", "text_hash", how="left").select("host", "text_hash", F.coalesce("own", "rarest.line").alias("key"))
+    own = of_line.where(F.col("n_shared") < F.greatest(F.lit(1), F.expr("(n - 1) div 2"))).groupBy("rid").agg(F.min("window").cast("long").alias("own"))
+    return held.drop("sketches").join(own, "rid", "left").select("host", "text_hash", F.struct(F.col("own").isNull().alias("copy"), F.coalesce("own", "rarest.line").alias("by")).alias("key"))
 
 
 def quality_rules(
@@ -210,7 +207,6 @@ def quality_rules(
     host_col: str = "source",
     text_col: str = "text",
     max_docs_per_host: int = MAX_DOCS_PER_HOST,
-    min_distinct_percent: int = MIN_DISTINCT_PERCENT,
     min_line_words: int = MIN_LINE_WORDS,
     min_remaining_percent: int = MIN_REMAINING_PERCENT,
 ) -> DataFrame:
@@ -220,25 +216,27 @@ def quality_rules(
         "line-scan",
     )
     lines = scan.select("rid", "host", "text_hash", F.explode("lines").alias("l")).select("rid", "host", "text_hash", "l.line", "l.words").where(F.col("words") >= min_line_words)
-    # Before copies are folded: no other line can be above the limit.
-    common = (
+    # Before copies are folded: no other line can be above the limit.  Small tables are written, so that Spark knows their size before it moves the lines.
+    common = written(
         lines.groupBy("host", "line", "text_hash")
         .agg(F.lit(1).alias("one"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") > max_docs_per_host)
+        .where(F.col("texts") > max_docs_per_host),
+        "common-lines",
     )
-    hits = written(_on(lines, common, "host", "line"), "common-lines")
-    holding = hits.groupBy("host", "line", "text_hash").agg(F.first("texts").alias("texts"))
+    hits = written(_on(lines, common, "host", "line"), "line-hits")
+    holding = hits.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one")).drop("one")
     keys = _keys(scan, hits, max_docs_per_host)
-    frequent = (
+    frequent = written(
         _on(holding, keys, "host", "text_hash")
         .groupBy("host", "line", "key")
-        .agg(F.count(F.lit(1)).alias("some"))
+        .agg(F.lit(1).alias("one"))
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("some").alias("texts"))
-        .where((F.col("n") > max_docs_per_host) & (100 * F.col("n") >= min_distinct_percent * F.col("texts")))
-        .select("host", "line")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > max_docs_per_host)
+        .select("host", "line"),
+        "frequent-lines",
     )
     removed = (
         _on(hits, frequent, "host", "line")

@@ -130,6 +130,21 @@ def test_templates_of_several_lines_are_removed_from_thin_pages(spark, lines, wo
         assert (r.n_removed_words, r.kept, r.base_failed) == (lines * words, False, False)
 
 
+def test_edited_copies_of_a_page_do_not_shield_a_line(spark):
+    rng = random.Random(3)
+    line, page = fresh_words(rng, 50), [fresh_words(rng, 20) for _ in range(5)]
+    pages = ["\n".join([line, fresh_words(rng, 10)]) for _ in range(60)]
+    copies = []
+    for _ in range(400):
+        words = [x.split() for x in page]
+        words[rng.randrange(5)][rng.randrange(20)] = fresh_words(rng, 1)
+        copies.append("\n".join([line, *map(" ".join, words)]))
+    for texts in (pages, [*pages, *copies]):  # copies change no verdict on the pages
+        got = Q.quality_rules(one_host(spark, texts)).collect()
+        assert {(r.n_removed_words, r.kept) for r in got if r.doc_id < 60} == {(50, False)}
+    assert {(r.n_removed_words, r.kept) for r in got if r.doc_id >= 60} == {(50, True)}
+
+
 def test_rules_on_repeated_rows_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, "h"), (1, text, "h"), (None, text, None), (None, None, None)], "doc_id long, text string, source string")
