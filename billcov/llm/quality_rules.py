@@ -48,7 +48,7 @@ from billcov.llm.common import written
 
 #: A line that stands in more distinct documents of a host than this is boilerplate.
 MAX_DOCS_PER_HOST = 20
-#: Shorter lines (in words) are left alone: single words recur by chance.
+#: Shorter lines (in words) are left alone by default; the query and the pipeline count lines of any length.
 MIN_LINE_WORDS = 3
 #: A document is depleted when less than this share (percent) of its words remains.
 MIN_REMAINING_PERCENT = 20

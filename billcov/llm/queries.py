@@ -56,7 +56,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict by cross-document line frequency."""
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), min_line_words=1).drop("removed_lines")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ NEAR_SHINGLE, NEAR_THRESHOLD = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: rejected documents go.  Texts stay as they are, so that copies on other hosts stay equal."""
-    return quality_rules.kept_documents(docs)
+    return quality_rules.kept_documents(docs, min_line_words=1)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,6 +145,18 @@ def test_edited_copies_of_a_page_do_not_shield_a_line(spark):
     assert {(r.n_removed_words, r.kept) for r in got if r.doc_id >= 60} == {(50, True)}
 
 
+def test_pages_of_short_shared_lines_are_rejected(spark, tmp_path):
+    import corpus_pipeline
+    from billcov.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    menu = [fresh_words(rng, 1 + i % 2) for i in range(40)]
+    one_host(spark, ["\n".join([*menu, fresh_words(rng, 8)]) for _ in range(30)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_quality_rules"](spark, str(tmp_path)).collect()
+    assert {(r.n_removed_words, r.kept, r.base_failed) for r in got} == {(60, False, False)}
+    assert corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").count() == 0
+
+
 def test_rules_on_repeated_rows_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, "h"), (1, text, "h"), (None, text, None), (None, None, None)], "doc_id long, text string, source string")
