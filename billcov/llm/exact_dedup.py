@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcov.llm import words as W
@@ -40,8 +40,8 @@ NODE_BYTES = 450
 
 _SPACES = b" \t\n\v\f\r"
 
-LOCAL = "n_bytes long, sha binary, norm binary, uid long, owner long, owner_pos long, members array<long>"
-OWNED = "handle long, sha binary, uid long, members array<long>, owner long, owner_uid long, owner_pos long, size long"
+LOCAL = "n_bytes long, sha binary, norm binary, uid long, owner long, owner_pos long, members array<long>, raws array<long>"
+OWNED = "handle long, sha binary, uid long, members array<long>, raws array<long>, owner long, owner_uid long, owner_pos long, size long"
 
 
 def normalised(text: bytes) -> bytes:
@@ -182,6 +182,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie, held = RadixTrie(), 0
     texts: list[bytes] = []
     members: list[list[int | None]] = []
+    raws: list[list[int]] = []
 
     def flush() -> pa.RecordBatch:
         nonlocal uid, held, trie
@@ -195,27 +196,31 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([m[i] for m, i in zip(members, best)], pa.int64()),
                 pa.array(best, pa.int64()),
                 pa.array(members, pa.list_(pa.int64())),
+                pa.array(raws, pa.list_(pa.int64())),
             ],
-            names=["n_bytes", "sha", "norm", "uid", "owner", "owner_pos", "members"],
+            names=["n_bytes", "sha", "norm", "uid", "owner", "owner_pos", "members", "raws"],
         )
         uid += len(texts)
         trie, held = RadixTrie(), 0
         texts.clear()
         members.clear()
+        raws.clear()
         return out
 
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for doc, raw, raw_hash in zip(*(c.to_pylist() for c in part.columns)):
                 text = normalised(raw or b"")
                 t = trie.find_or_add(text, lambda: len(texts))
                 if t == len(texts):
                     texts.append(text)
                     members.append([])
+                    raws.append([])
                     held += len(text)
                 members[t].append(doc)
-                held += 16
+                raws[t].append(raw_hash)
+                held += 24
             if held >= BLOCK_BYTES:
                 yield flush()
     if texts:
@@ -229,14 +234,14 @@ def _owners(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         shas: list[bytes] = []
         best: list[tuple] = []
         size: list[int] = []
-        names = ["handle", "sha", "uid", "members", "owner", "owner_uid", "owner_pos", "size"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["handle", "sha", "uid", "members", "raws", "owner", "owner_uid", "owner_pos", "size"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
         def source() -> Iterator[tuple[bytes, tuple]]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     c = batch.slice(at, 256).to_pydict()
-                    yield from zip(c["norm"], zip(c["sha"], c["uid"], c["owner"], c["owner_pos"], c["members"]))
+                    yield from zip(c["norm"], zip(c["sha"], c["uid"], c["owner"], c["owner_pos"], c["members"], c["raws"]))
 
         def new() -> int:
             shas.append(b"")
@@ -248,18 +253,18 @@ def _owners(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         rows: list[tuple] = []
-        for t, (sha, uid, owner, pos, members) in answer(source(), new, budget):
+        for t, (sha, uid, owner, pos, members, raws) in answer(source(), new, budget):
             mine = (owner is None, owner or 0, uid, pos)
             if not size[t] or mine < best[t]:
                 best[t] = mine
             shas[t] = sha
             size[t] += len(members)
-            rows.append((first + t, None, uid, members, None, None, None, None))
+            rows.append((first + t, None, uid, members, raws, None, None, None, None))
             if len(rows) >= 4096:
                 yield out(rows)
                 rows = []
         for t, (none, owner, uid, pos) in enumerate(best):
-            rows.append((first + t, shas[t], None, None, None if none else owner, uid, pos, size[t]))
+            rows.append((first + t, shas[t], None, None, None, None if none else owner, uid, pos, size[t]))
             if len(rows) >= 4096:
                 yield out(rows)
                 rows = []
@@ -269,21 +274,31 @@ def _owners(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _raw_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    local = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(W.tidied(_local), LOCAL)
+    return _decisions(docs, id_col, text_col, trie_bytes).drop("raw")
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """The rows of ``exact_duplicates`` with the hash of the text as it came."""
+    local = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), _raw_hash(text_col).alias("raw")).mapInArrow(W.tidied(_local), LOCAL)
     owned = written(local.repartition("n_bytes", "sha").mapInArrow(W.tidied(_owners(trie_bytes)), OWNED), "trie-owners")
-    rows = owned.where("members is not null").select("handle", "uid", "members")
+    rows = owned.where("members is not null").select("handle", "uid", "members", "raws")
     owners = owned.where("members is null").select("handle", "owner", "owner_uid", "owner_pos", "size", F.lower(F.hex("sha")).alias("text_sha256"))
     return (
         rows.join(owners, "handle")
-        .select("owner", "owner_uid", "owner_pos", "size", "text_sha256", "uid", F.posexplode("members").alias("pos", "doc_id"))
+        .select("owner", "owner_uid", "owner_pos", "size", "text_sha256", "uid", F.posexplode(F.arrays_zip("members", "raws")).alias("pos", "row"))
         .select(
-            "doc_id",
+            F.col("row.members").alias("doc_id"),
             F.col("owner").alias("keep_id"),
             F.col("size").alias("group_size"),
             ((F.col("uid") == F.col("owner_uid")) & (F.col("pos") == F.col("owner_pos"))).alias("kept"),
             "text_sha256",
+            F.col("row.raws").alias("raw"),
         )
     )
 
@@ -291,12 +306,12 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay.
 
-    Rows are told apart by identifier and text: of rows repeated byte for byte one stays, and of rows
-    without an identifier one of each text, if any of them stays.
+    Rows are told apart by identifier and text (as it came): of equal texts the row decided on stays,
+    and one of the rows that repeat it byte for byte.
     """
     from pyspark.sql import Window
 
-    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    stay = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    kept = _decisions(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"))
+    stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (_raw_hash(text_col) == F.col("_kept_raw")), "left_semi")
+    again = Window.partitionBy(id_col, _raw_hash(text_col)).orderBy(F.lit(0))
     return stay.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")

@@ -40,7 +40,7 @@ from operator import and_
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcov.llm import words as W
@@ -155,7 +155,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dup = np.bincount(doc, minlength=n) - np.bincount(doc[fresh], minlength=n)
             low = W.words_of(W.LOWER[raw], offsets)
             norm, size = line_hashes(low, at, end), end - at
-            text = prefix.hash(offsets[:-1], offsets[1:]).view(np.int64)
             lines = _distinct_lines(doc, norm, size, *_sketches(low, at, end, norm), n)
             part = batch.slice(i, n)
             yield pa.record_batch(
@@ -168,7 +167,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(symbols, pa.int64()),
                     pa.array(dup, pa.int64()),
                     pa.array(repeat, pa.int64()),
-                    pa.array(text, pa.int64()),
+                    part.column(3),
                     lines,
                 ],
                 names=["rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines"],
@@ -200,7 +199,16 @@ def _keys(scan: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
     return held.drop("sketches").join(own, "rid", "left").select("host", "text_hash", F.struct(F.col("own").isNull().alias("copy"), F.coalesce("own", "rarest.line").alias("by")).alias("key"))
 
 
-def quality_rules(
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
+def quality_rules(docs: DataFrame, **options: object) -> DataFrame:
+    """One row per document: the counts, base_failed, n_removed_words, removed_lines (hashes), kept."""
+    return _verdicts(docs, **options).drop("host", "text_hash")
+
+
+def _verdicts(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -210,9 +218,11 @@ def quality_rules(
     min_line_words: int = MIN_LINE_WORDS,
     min_remaining_percent: int = MIN_REMAINING_PERCENT,
 ) -> DataFrame:
-    """One row per document: the counts, base_failed, n_removed_words, removed_lines (hashes), kept."""
+    """The rows of ``quality_rules`` with host and text_hash, which a verdict depends on."""
     scan = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text")).mapInArrow(W.tidied(_scan), SCAN),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text"), _text_hash(text_col).alias("text_hash")).mapInArrow(
+            W.tidied(_scan), SCAN
+        ),
         "line-scan",
     )
     lines = scan.select("rid", "host", "text_hash", F.explode("lines").alias("l")).select("rid", "host", "text_hash", "l.line", "l.words").where(F.col("words") >= min_line_words)
@@ -243,12 +253,12 @@ def quality_rules(
         .groupBy("rid")
         .agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
     )
-    out = scan.drop("lines", "text_hash").join(removed, "rid", "left")
+    out = scan.drop("lines").join(removed, "rid", "left")
     gone = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - gone) < min_remaining_percent * F.col("n_words")
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         gone.alias("n_removed_words"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"),
         (~failed & ~depleted).alias("kept"),
     )
@@ -286,7 +296,11 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id
     return both.mapInArrow(W.tidied(run), schema)
 
 
-def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``docs`` that pass, texts unchanged (copies stay equal for the deduplication after it)."""
-    keep = quality_rules(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")
+def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs`` that pass, texts unchanged (copies stay equal for the deduplication after it).
+
+    Rows meet their verdicts by identifier, host and text: rows that agree in these have one verdict.
+    """
+    keep = _verdicts(docs, id_col=id_col, host_col=host_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_text"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(host_col).cast("string").eqNullSafe(F.col("_host")) & (_text_hash(text_col) == F.col("_text"))
+    return docs.join(keep, same, "left_semi")

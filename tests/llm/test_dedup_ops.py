@@ -206,3 +206,12 @@ def test_stars_find_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: root(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_exact_decisions_hold_for_rows_with_repeated_or_null_ids(spark):
+    rows = [(5, "x"), (5, "y"), (3, "y"), (7, "a b"), (7, "a  b"), (None, "y"), (None, "z"), (None, "z "), (None, "z "), (8, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in D.deduplicated(df).collect()]
+    assert len(got) == 6
+    assert {(i, " ".join((t or "").split(" "))) for i, t in got if i in (3, 5)} == {(3, "y"), (5, "x")}
+    assert sorted(str(i) for i, _ in got) == ["3", "5", "7", "8", "None", "None"]

@@ -157,6 +157,13 @@ def test_pages_of_short_shared_lines_are_rejected(spark, tmp_path):
     assert corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").count() == 0
 
 
+def test_verdicts_hold_for_rows_with_repeated_or_null_ids(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, good, "h"), (1, "short", "h"), (None, good, None), (None, "short", None), (None, None, None)]
+    got = Q.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[2]])
+
+
 def test_rules_on_repeated_rows_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, "h"), (1, text, "h"), (None, text, None), (None, None, None)], "doc_id long, text string, source string")
