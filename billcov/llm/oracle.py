@@ -108,3 +108,30 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (t)
 """
+
+#: CRC-32 of the decimal number, as a fold over its bytes and eight shifts (-1) after each.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END), 4294967295::BIGINT)"
+)
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS l FROM t GROUP BY conv_id
+), h AS (SELECT *, {_CRC} % 4 AS h FROM own),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d::BIGINT AS depth, l[1:d] AS node, d = len(l) AS ends FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM c)),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY node, depth
+), m AS (
+  SELECT *, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].t, '{WORD}')) END AS own, node[1:depth - 1] AS up FROM n
+), k AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n FROM m WHERE depth > 0 GROUP BY ALL),
+s AS (
+  SELECT a.node, a.depth, sum(b.own) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM m a JOIN m b ON b.depth >= a.depth AND b.node[1:a.depth] = a.node LEFT JOIN k ON k.node = b.node AND k.depth = b.depth GROUP BY a.node, a.depth
+)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.node = m.node AND s.depth = m.depth LEFT JOIN k ON k.node = m.node AND k.depth = m.depth LEFT JOIN n u ON m.depth > 0 AND u.node = m.up AND u.depth = m.depth - 1
+"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billcov.llm import exact_dedup, license_scan, ngram_join, oracle, packing, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
+from billcov.llm import exact_dedup, license_scan, ngram_join, oracle, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
 from billcov.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of the conversations, rebuilt on shared heads."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": oracle.OP4,
     "op5_warc_table": oracle.OP5,
     "op8_exact_dedup": oracle.OP8,
+    "op11_conversation_trie": oracle.OP11,
 }
