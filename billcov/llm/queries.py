@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billcov.llm import exact_dedup, license_scan, ngram_join, oracle, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
+from billcov.llm import exact_dedup, license_scan, minhash_dedup, ngram_join, oracle, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
 from billcov.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by 2-word shingles at 80 % Jaccard, one document of each kept."""
+    return minhash_dedup.minhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_minhash_dedup": op12_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +107,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_table": oracle.OP5,
     "op8_exact_dedup": oracle.OP8,
     "op11_conversation_trie": oracle.OP11,
+    "op12_minhash_dedup": oracle.OP12,
 }
