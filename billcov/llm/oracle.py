@@ -140,3 +140,29 @@ s AS (
 SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
 FROM m JOIN s ON s.node = m.node AND s.depth = m.depth LEFT JOIN k ON k.node = m.node AND k.depth = m.depth LEFT JOIN n u ON m.depth > 0 AND u.node = m.up AND u.depth = m.depth - 1
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+o AS (SELECT lang, id, unnest(w) AS x, unnest(range(len(w))) AS i FROM p),
+t AS (SELECT lang, x, lead(x, 1) OVER piece AS y, lead(x, 2) OVER piece AS z FROM o WINDOW piece AS (PARTITION BY id ORDER BY i)),
+g AS MATERIALIZED (
+  SELECT lang, 1 AS k, [x] AS g, count(*) AS f FROM t GROUP BY ALL
+  UNION ALL SELECT lang, 2, [x, y], count(*) FROM t WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, [x, y, z], count(*) FROM t WHERE z IS NOT NULL GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
+held AS (
+  SELECT DISTINCT s.lang, s.g FROM c s JOIN (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS part FROM c WHERE k = 3) t ON t.lang = s.lang AND t.part = s.g WHERE s.k = 2 AND 100 * t.f >= 50 * s.f
+), cuts AS (SELECT c.lang, c.g, c.f AS a, u.cut FROM c, (VALUES (1), (2)) u(cut) WHERE u.cut < c.k),
+scored AS (
+  SELECT x.lang, x.g, x.a, x.cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * x.a * x.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts x JOIN g l ON l.lang = x.lang AND l.g = x.g[1:x.cut] JOIN g r ON r.lang = x.lang AND r.g = x.g[x.cut + 1:]
+), low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT low.lang, array_to_string(low.g, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN held ON held.lang = low.lang AND held.g = low.g WHERE held.g IS NULL
+)
+SELECT ranked.lang, row_number() OVER (PARTITION BY ranked.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score FROM ranked JOIN n ON n.lang = ranked.lang
+QUALIFY rank <= 2000
+"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billcov.llm import exact_dedup, license_scan, minhash_dedup, ngram_join, oracle, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
+from billcov.llm import collocations, exact_dedup, license_scan, minhash_dedup, ngram_join, oracle, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, source_mixing, url_filter, warc_table
 from billcov.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,11 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_components(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": oracle.OP8,
     "op11_conversation_trie": oracle.OP11,
     "op12_minhash_dedup": oracle.OP12,
+    "op13_collocations": oracle.OP13,
 }
