@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from billcov.llm import quality_rules as Q
 from billcov.llm import secret_scan as S
 from billcov.llm import source_mixing as M
 
@@ -166,3 +167,38 @@ ranked AS (
 SELECT ranked.lang, row_number() OVER (PARTITION BY ranked.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score FROM ranked JOIN n ON n.lang = ranked.lang
 QUALIFY rank <= 2000
 """
+
+OP7 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{WORD}') AS w FROM d),
+o AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+v AS (SELECT rid, i, x, lead(x, 1) OVER p AS y, lead(x, 2) OVER p AS z FROM o WINDOW p AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i, z IS NOT NULL AND count(*) OVER (PARTITION BY rid, x, y, z) > 1 AS again FROM v),
+m AS (
+  SELECT rid, count(*) FILTER (again OR b1 OR b2) AS n FROM (SELECT rid, again, lag(again, 1) OVER p AS b1, lag(again, 2) OVER p AS b2 FROM r WINDOW p AS (PARTITION BY rid ORDER BY i)) GROUP BY rid
+), l AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+e AS (SELECT rid, source, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS lw FROM l WHERE regexp_matches(line, '{WORD}')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM e GROUP BY rid),
+own AS (SELECT rid, source, t, array_to_string(lw, ' ') AS line, sum(len(lw)) AS n FROM e GROUP BY ALL),
+common AS (SELECT source, line FROM own GROUP BY ALL HAVING count(DISTINCT t) > {Q.MAX_DOCS_PER_HOST}),
+hits AS (SELECT own.* FROM own JOIN common c ON c.line = own.line AND c.source IS NOT DISTINCT FROM own.source),
+held AS (SELECT row_number() OVER () AS doc_id, t FROM (SELECT DISTINCT t FROM hits)),
+hw AS (
+  SELECT doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM held
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM hw
+), sn AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sn na ON na.doc_id = a JOIN sn nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)
+), reach(doc_id, other) AS (SELECT doc_id, doc_id FROM held UNION SELECT r.doc_id, k.b FROM reach r JOIN link k ON k.a = r.other),
+of AS (SELECT held.t, min(other) AS c FROM reach JOIN held USING (doc_id) GROUP BY held.t),
+frequent AS (SELECT source, line FROM hits JOIN of ON of.t = hits.t GROUP BY ALL HAVING count(DISTINCT c) > {Q.MAX_DOCS_PER_HOST}),
+gone AS (SELECT rid, sum(n) AS n FROM hits JOIN frequent f ON f.line = hits.line AND f.source IS NOT DISTINCT FROM hits.source GROUP BY rid),
+a AS (
+  SELECT d.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN m USING (rid) LEFT JOIN gone USING (rid)
+), b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= {Q.MIN_REMAINING_PERCENT} * n_words AS kept FROM b
+"""

@@ -4,27 +4,17 @@ Method: lines are normalised (A-Z lower-cased, white space collapsed) and hashed
 distinct documents that hold a line are counted; lines above the limit are removed, and a document
 is rejected when too little of it remains.  Base rules on the single text come first.
 
-Copies must not make clean text look like boilerplate: a crawl holds whole documents many times,
-exactly or with small edits, and then every one of their lines is frequent.  Copies are therefore
-folded before counting, by one key of the whole document.  Equal texts are one document.  Of the
-texts that hold a line above the limit, each line is sketched by the ``SKETCH`` smallest hashes of
-its windows of three words in a row; a window is shared if more texts of the host than the limit hold
-it, and a line is the document's *own* if fewer than about half of its sketch are shared.  The key is
-the smallest window that is not shared in the document's own lines; it never lies in boilerplate or
-in an edited form of it.  Copies of few edits have no own line, as their edited lines still
-hold shared windows: their key is the line held by the fewest texts, a line of the text copied rather
-than of a template around it.  A line is above the limit when documents of more than
-``MAX_DOCS_PER_HOST`` keys hold it, however many copies there are.
-
-Limits of the folding: a middle word edited in a line of at most five words makes it an own line; a
-copy with a new line of its own counts as a document; a page that differs from many others in single
-words only is a copy of them.
-
-Scale: texts are read once and never shuffled; what moves is a row (host, line, text hash) for each
-distinct line of a document, first grouped by all three, so neither a hot host nor a hot line lands
-in one task, then counted with partial sums.  Windows move for one document of each different text
-that holds a line above the limit.  Frequent lines and windows meet the documents' in equi-joins that
-Spark can split.
+What counts as one document: equal texts, and near copies by operator 1 at its own setting (word
+4-grams of the whole text, a Jaccard similarity of 85 % or more, and what such links connect); a crawl
+holds a page many times with small edits, and each of its lines would be frequent otherwise.  Pages
+that differ in less than that, however many, are therefore one document (say ten shared lines and one
+word of their own), and don't make their lines frequent; pages that share lines but differ in a sixth
+of their text or more count each.  Only texts that hold a line above the limit are compared.
+
+Scale: texts are read once for the counts and never shuffled; what moves is a row (host, line, text
+hash) for each distinct line of a document, first grouped by all three, so neither a hot host nor a
+hot line lands in one task, then counted with partial sums.  Texts with a frequent line are read
+again by operator 1.  Frequent lines meet the documents' in equi-joins that Spark can split.
 
 Defined cases: null texts have no words (n_words 0, base_failed); a null host is a host of its own;
 rows are told apart by position, so repeated rows and null identifiers each get a row (and the same
@@ -43,8 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billcov.functions.sizing import sized_broadcast
+from billcov.llm import ngram_join
 from billcov.llm import words as W
-from billcov.llm.common import written
+from billcov.llm.common import fresh_names, written
 
 #: A line that stands in more distinct documents of a host than this is boilerplate.
 MAX_DOCS_PER_HOST = 20
@@ -58,12 +50,11 @@ MAX_REPEAT_PERCENT = 50
 
 SCAN = (
     "rid long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, "
-    "lines array<struct<line: long, words: long, sketch: array<int>>>"
+    "lines array<struct<line: long, words: long>>"
 )
 
-#: Words in a row that make a window, and windows that make a line's sketch.
-WINDOW_WORDS = 3
-SKETCH = 8
+#: Texts with a frequent line whose hashes may be broadcast.
+MAX_BROADCAST = 1_000_000
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -94,38 +85,15 @@ def line_hashes(low: W.Words, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     return W.mix(np.add.reduceat(low.hash * weight, at)).view(np.int64)
 
 
-def _sketches(low: W.Words, at: np.ndarray, end: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes) of the ``SKETCH`` smallest different windows in each line; of a line without windows, its hash."""
-    n = len(at)
-    line = np.repeat(np.arange(n), end - at)
-    first, h = W.windows(low, WINDOW_WORDS)
-    inside = line[first] == line[first + WINDOW_WORDS - 1]
-    bare = np.flatnonzero(end - at < WINDOW_WORDS)
-    of, h = np.concatenate([line[first[inside]], bare]), (np.concatenate([h[inside], norm[bare].view(np.uint64)]) >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((h, of))
-    of, h = of[order], h[order]
-    fresh = np.ones(len(of), dtype=bool)
-    fresh[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
-    of, h = of[fresh], h[fresh]
-    taken = np.arange(len(of)) - np.searchsorted(of, np.arange(n))[of] < SKETCH
-    of, h = of[taken], h[taken]
-    return np.searchsorted(of, np.arange(n + 1)), h.view(np.int32)
-
-
-def _distinct_lines(doc: np.ndarray, norm: np.ndarray, size: np.ndarray, bounds: np.ndarray, sketch: np.ndarray, n: int) -> pa.Array:
-    """For each document its different lines, by hash, with all their words and their sketches."""
+def _distinct_lines(doc: np.ndarray, norm: np.ndarray, size: np.ndarray, n: int) -> pa.Array:
+    """For each document its different lines, by hash, with all their words."""
     order = np.lexsort((norm, doc))
     d, h = doc[order], norm[order]
     new = np.ones(len(d), dtype=bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
     words = np.add.reduceat(size[order], at) if len(at) else np.zeros(0, np.int64)
-    one = order[at]
-    count = bounds[one + 1] - bounds[one]
-    ends = np.cumsum(count)
-    pick = np.arange(int(count.sum())) + np.repeat(bounds[one] - (ends - count), count)
-    sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sketch[pick], pa.int32()))
-    lines = pa.StructArray.from_arrays([pa.array(h[at], pa.int64()), pa.array(words, pa.int64()), sketches], names=["line", "words", "sketch"])
+    lines = pa.StructArray.from_arrays([pa.array(h[at], pa.int64()), pa.array(words, pa.int64())], names=["line", "words"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(d[at], np.arange(n + 1)), pa.int32()), lines)
 
 
@@ -155,7 +123,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dup = np.bincount(doc, minlength=n) - np.bincount(doc[fresh], minlength=n)
             low = W.words_of(W.LOWER[raw], offsets)
             norm, size = line_hashes(low, at, end), end - at
-            lines = _distinct_lines(doc, norm, size, *_sketches(low, at, end, norm), n)
+            lines = _distinct_lines(doc, norm, size, n)
             part = batch.slice(i, n)
             yield pa.record_batch(
                 [
@@ -181,22 +149,13 @@ def _on(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> D
     return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), how).drop(*[f"_{c}" for c in names])
 
 
-def _keys(scan: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
-    """(host, text_hash, key) of each text in ``hits``: copies share the key."""
-    texts = hits.groupBy("host", "text_hash").agg(F.min("rid").alias("rid"), F.min(F.struct("texts", "line")).alias("rarest"))
-    held = written(texts.join(scan.select("rid", F.col("lines.sketch").alias("sketches")), "rid"), "held-windows")
-    shared = written(
-        held.select("host", F.explode(F.array_distinct(F.flatten("sketches"))).alias("window")).groupBy("host", "window").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > limit),
-        "shared-windows",
-    )
-    windows = held.select("rid", "host", F.posexplode("sketches").alias("line", "sketch")).select("rid", "host", "line", F.explode("sketch").alias("window"))
-    of_line = (
-        _on(windows, shared, "host", "window", how="left")
-        .groupBy("rid", "line")
-        .agg(F.count("holders").alias("n_shared"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("holders").isNull(), F.col("window"))).alias("window"))
-    )
-    own = of_line.where(F.col("n_shared") < F.greatest(F.lit(1), F.expr("(n - 1) div 2"))).groupBy("rid").agg(F.min("window").cast("long").alias("own"))
-    return held.drop("sketches").join(own, "rid", "left").select("host", "text_hash", F.struct(F.col("own").isNull().alias("copy"), F.coalesce("own", "rarest.line").alias("by")).alias("key"))
+def _near_copies(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
+    """(text_hash, document) of each text in ``hits``: near copies are one document."""
+    wanted = written(hits.select(F.col("text_hash").alias("wanted")).distinct(), "line-texts")
+    texts = docs.select(_text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    held = texts.join(sized_broadcast(wanted, MAX_BROADCAST), F.col("text_hash") == F.col("wanted"), "left_semi")
+    # Equal texts have one identifier here, so they are one class whatever their number.
+    return ngram_join.ngram_components(held, id_col="text_hash").select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("document")).distinct()
 
 
 def _text_hash(text_col: str) -> Column:
@@ -236,18 +195,21 @@ def _verdicts(
         "common-lines",
     )
     hits = written(_on(lines, common, "host", "line"), "line-hits")
-    holding = hits.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one")).drop("one")
-    keys = _keys(scan, hits, max_docs_per_host)
-    frequent = written(
-        _on(holding, keys, "host", "text_hash")
-        .groupBy("host", "line", "key")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_docs_per_host)
-        .select("host", "line"),
-        "frequent-lines",
-    )
+    if hits.isEmpty():
+        frequent = common.select("host", "line")
+    else:
+        holding = hits.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one")).drop("one")
+        near = written(_near_copies(docs, text_col, hits), "line-documents")
+        frequent = written(
+            _on(holding, near, "text_hash")
+            .groupBy("host", "line", "document")
+            .agg(F.lit(1).alias("one"))
+            .groupBy("host", "line")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > max_docs_per_host)
+            .select("host", "line"),
+            "frequent-lines",
+        )
     removed = (
         _on(hits, frequent, "host", "line")
         .groupBy("rid")
@@ -266,17 +228,18 @@ def _verdicts(
 
 def without_lines(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines in ``verdicts.removed_lines`` taken out of ``text_col`` (by identifier)."""
-    v = verdicts.select(F.col("doc_id").alias("_id"), F.col("removed_lines").alias("_gone"))
-    both = docs.join(v, docs[id_col].eqNullSafe(v["_id"]), "left").drop("_id")
+    ident, lost = fresh_names(docs, "verdict_id", "lost_lines")
+    v = verdicts.select(F.col("doc_id").alias(ident), F.col("removed_lines").alias(lost))
+    both = docs.join(v, docs[id_col].eqNullSafe(v[ident]), "left").drop(ident)
     kind = both.schema[text_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            k, g = names.index(text_col), names.index("_gone")
+            k, g = names.index(text_col), names.index(lost)
             out = [None if t is None else cut(t, set(gone or ())) for t, gone in zip(batch.column(k).to_pylist(), batch.column(g).to_pylist())]
             cols = [pa.array(out, batch.column(k).type) if j == k else c for j, c in enumerate(batch.columns) if j != g]
-            yield pa.record_batch(cols, names=[x for x in names if x != "_gone"])
+            yield pa.record_batch(cols, names=[x for x in names if x != lost])
 
     def cut(text: str, gone: set[int]) -> str:
         if not gone:
@@ -291,7 +254,7 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id
         drop = {int(d) for d, x in zip(w.doc[at], h) if int(x) in gone}
         return "\n".join(x for i, x in enumerate(lines) if i not in drop)
 
-    schema = both.drop("_gone").schema
+    schema = both.drop(lost).schema
     assert kind.simpleString() == "string"
     return both.mapInArrow(W.tidied(run), schema)
 
@@ -301,6 +264,8 @@ def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "
 
     Rows meet their verdicts by identifier, host and text: rows that agree in these have one verdict.
     """
-    keep = _verdicts(docs, id_col=id_col, host_col=host_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_text"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(host_col).cast("string").eqNullSafe(F.col("_host")) & (_text_hash(text_col) == F.col("_text"))
+    ident, host, text = fresh_names(docs, "verdict_id", "verdict_host", "verdict_text")
+    verdicts = _verdicts(docs, id_col=id_col, host_col=host_col, text_col=text_col, **options)
+    keep = verdicts.where("kept").select(F.col("doc_id").alias(ident), F.col("host").alias(host), F.col("text_hash").alias(text))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(ident)) & F.col(host_col).cast("string").eqNullSafe(F.col(host)) & (_text_hash(text_col) == F.col(text))
     return docs.join(keep, same, "left_semi")

@@ -111,6 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": oracle.OP3,
     "op4_source_mixing": oracle.OP4,
     "op5_warc_table": oracle.OP5,
+    "op7_quality_rules": oracle.OP7,
     "op8_exact_dedup": oracle.OP8,
     "op11_conversation_trie": oracle.OP11,
     "op12_minhash_dedup": oracle.OP12,

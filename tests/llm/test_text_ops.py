@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from test_dedup_ops import components_brute
 
 from billcov.llm import license_scan as L
 from billcov.llm import packing as P
@@ -59,37 +60,31 @@ def test_base_counts_match_brute_force(spark):
 
 
 def lines_brute(rows, most, least, percent):
-    """rows: (id, host, text). Words removed and verdict by the documented rule, line by line."""
-    docs = []
-    companions, texts = defaultdict(set), defaultdict(set)
+    """rows: (id, host, text). Words removed and verdict: documents per host and line, near copies being one."""
+    docs, texts, held = [], defaultdict(set), defaultdict(set)
     for i, host, t in rows:
-        lines = [re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), line)) for line in (t or "").split("\n")]
-        lines = [tuple(w) for w in lines if w]
-        words = [(x, k) for k, line in enumerate(lines) for x in line]
         size = Counter()
-        windows = [({k for _, k in words[j : j + 3]}, window_hash([x for x, _ in words[j : j + 3]])) for j in range(len(words) - 2)]
-        for k, line in enumerate(lines):
-            size[line] += len(line)
-        for line in size:
-            outside = [h for k in range(len(lines)) if lines[k] == line for held, h in windows if k not in held]
-            companions[host, line].add(min(outside) if outside else line)
-            texts[host, line].add((t, min(outside) if outside else line))
+        for line in (t or "").split("\n"):
+            w = tuple(re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+            size[w] += len(w)
         docs.append((i, host, size))
+        for line in size:
+            if len(line) >= max(least, 1):
+                texts[host, line].add(t)
+    for key, own in texts.items():
+        if len(own) > most:
+            held[key] = own
+    every = sorted(set().union(*held.values())) if held else []
+    of = {every[k]: c for k, (_, c) in components_brute(list(enumerate(every)), 4, 85).items()}
+    frequent = {key for key, own in held.items() if len({of[t] for t in own}) > most}
     out = {}
     for i, host, size in docs:
-        gone = sum(n for x, n in size.items() if n >= least and len(companions[host, x]) > most and 2 * len(companions[host, x]) >= len(texts[host, x]))
+        gone = sum(n for x, n in size.items() if (host, x) in frequent)
         total = sum(size.values())
         out[i] = (gone, 100 * (total - gone) >= percent * total)
     return out
 
 
-def window_hash(words):
-    from billcov.llm import words as W
-
-    raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
-    return int(W.windows(W.words_of(raw, np.array([0, len(raw)])), len(words))[1][0])
-
-
 def test_cross_document_lines_match_brute_force(spark):
     rng = random.Random(7)
     own = lambda n: "\n".join(" ".join(f"u{rng.randrange(10**6)}" for _ in range(9)) for _ in range(n))
@@ -97,9 +92,9 @@ def test_cross_document_lines_match_brute_force(spark):
     texts = [own(8) + "\n" + banner for _ in range(40)]  # banner on pages with enough text of their own
     texts += [banner + "\n" + own(1)] * 1 + [banner + "\nBuy now\n" + own(1) for _ in range(20)]  # nothing but banner
     texts += [own(10)] * 30 + [None, ""]  # whole copies
-    page = own(6).split("\n")
+    page = own(12).split("\n")
     for _ in range(200):  # near copies: one word of one line differs
-        k = rng.randrange(6)
+        k = rng.randrange(12)
         texts.append("\n".join(x + f" e{rng.randrange(10**6)}" if j == k else x for j, x in enumerate(page)))
     df = table(spark, texts)
     want = lines_brute([(i, f"h{i % 3}" if i % 5 else None, t) for i, t in enumerate(texts)], 5, 3, Q.MIN_REMAINING_PERCENT)
@@ -130,6 +125,34 @@ def test_templates_of_several_lines_are_removed_from_thin_pages(spark, lines, wo
         assert (r.n_removed_words, r.kept, r.base_failed) == (lines * words, False, False)
 
 
+@pytest.mark.parametrize("of", [15, 40])
+def test_pages_of_shared_lines_alone_are_rejected(spark, of):
+    """Pages of 10 of so many lines and nothing else: many documents hold each line, so all go."""
+    rng = random.Random(of)
+    lines = [fresh_words(rng, 12) for _ in range(of)]
+    texts = list({"\n".join(x for x in lines if x in take) for take in (set(rng.sample(lines, 10)) for _ in range(400))})
+    got = Q.quality_rules(one_host(spark, texts)).collect()
+    assert {(r.n_removed_words, r.kept, r.base_failed) for r in got} == {(120, False, False)}
+
+
+def test_pages_that_differ_in_a_word_are_one_document(spark):
+    rng = random.Random(9)
+    lines = [fresh_words(rng, 12) for _ in range(10)]
+    texts = ["\n".join([*lines, f"posted by user n{i} on the day before"]) for i in range(200)]
+    assert {(r.n_removed_words, r.kept) for r in Q.quality_rules(one_host(spark, texts)).collect()} == {(0, True)}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["verdict_id", "verdict_host", "VERDICT_TEXT", "lost_lines", "_id", "_host", "_text", "rid", "host", "text_hash", "_gone"]
+    good = [" ".join(f"w{i}{k}" for i in range(60)) for k in range(4)]
+    rows = [(i if i % 2 else None, t, "h", *["x"] * len(names)) for i, t in enumerate(good)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = Q.kept_documents(df)
+    assert out.columns == df.columns and Counter(map(tuple, out.collect())) == Counter(rows)
+    cut = Q.without_lines(df.where("doc_id is not null"), Q.quality_rules(df).where("doc_id is not null"))
+    assert cut.columns == df.columns and cut.count() == 2
+
+
 def test_edited_copies_of_a_page_do_not_shield_a_line(spark):
     rng = random.Random(3)
     line, page = fresh_words(rng, 50), [fresh_words(rng, 20) for _ in range(5)]
