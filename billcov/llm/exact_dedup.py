@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcov.llm import words as W
-from billcov.llm.common import written
+from billcov.llm.common import fresh_names, written
 
 #: Bytes of text of a block that is collapsed before the shuffle.
 BLOCK_BYTES = 12 << 20
@@ -311,7 +311,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     from pyspark.sql import Window
 
-    kept = _decisions(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"))
-    stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (_raw_hash(text_col) == F.col("_kept_raw")), "left_semi")
+    ident, text, place = fresh_names(docs, "kept_id", "kept_text", "kept_place")
+    kept = _decisions(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(ident), F.col("raw").alias(text))
+    stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(ident)) & (_raw_hash(text_col) == F.col(text)), "left_semi")
     again = Window.partitionBy(id_col, _raw_hash(text_col)).orderBy(F.lit(0))
-    return stay.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    return stay.withColumn(place, F.row_number().over(again)).where(F.col(place) == 1).drop(place)

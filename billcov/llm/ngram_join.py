@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from billcov.functions.sizing import sized_broadcast
 from billcov.llm import words as W
-from billcov.llm.common import written
+from billcov.llm.common import fresh_names, written
 from billcov.llm.components import components
 
 SHINGLE = 4
@@ -454,5 +454,6 @@ def ngram_components(docs: DataFrame, **options: object) -> DataFrame:
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its component (rows without one stay)."""
-    keep = ngram_components(docs, id_col=id_col, **options).where("component_id is null or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")
+    (kept,) = fresh_names(docs, "kept_id")
+    keep = ngram_components(docs, id_col=id_col, **options).where("component_id is null or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias(kept))
+    return docs.join(keep, docs[id_col].eqNullSafe(keep[kept]), "left_semi")

@@ -215,3 +215,13 @@ def test_exact_decisions_hold_for_rows_with_repeated_or_null_ids(spark):
     assert len(got) == 6
     assert {(i, " ".join((t or "").split(" "))) for i, t in got if i in (3, 5)} == {(3, "y"), (5, "x")}
     assert sorted(str(i) for i, _ in got) == ["3", "5", "7", "8", "None", "None"]
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["kept_id", "kept_text", "kept_place", "_kept_id", "_kept_raw", "_again", "component_id", "raw"]
+    rows = [(i if i % 2 else None, t, *["x"] * len(names)) for i, t in enumerate(["a b c d e", "a b c d e", "z", "y", "y"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = D.deduplicated(df)
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == ["a b c d e", "y", "z"]
+    one = J.one_of_each(df)
+    assert one.columns == df.columns and {r.doc_id for r in one.collect()} == {None, 1, 3}
