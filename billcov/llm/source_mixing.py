@@ -14,8 +14,9 @@ shuffle of texts is the global shuffle that is asked for, and it is even, since
 identifier and copy.
 
 Defined cases: a null source is a source of its own; sources without text (or without a positive
-weight) have rate 0; null texts count as empty; null identifiers hash as the word null, and repeated
-identifiers draw the same count; extra columns stay, but for ones named mix_copy, mix_copies or
+weight) have rate 0; null texts count as empty; rows with a null identifier draw by their place in
+the input, each on its own (so their draw depends on how the input is dealt), and repeated identifiers
+draw the same count; extra columns stay, but for ones named mix_copy, mix_copies or
 mix_order, which are replaced; an empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcov.functions.sizing import sized_broadcast
-from billcov.llm.common import written
+from billcov.llm.common import fresh_names, written
 
 SEED = 20_240
 #: Target share of a source: its characters to this power, over the sum of all (1: as is; 0: uniform).
@@ -86,18 +87,20 @@ def mixed(
     """The rows of ``docs`` repeated to the target weights and shuffled, with mix_copy, mix_copies, mix_order."""
     rate = rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    table = rate.where("rate > 0").select(F.col("src").alias("__mix_src"), parts.alias("__mix_parts"), _distribution(F.col("rate") / parts).alias("__mix_cdf"))
-    known = docs.join(sized_broadcast(table, MAX_BROADCAST_SOURCES), docs[source_col].eqNullSafe(table["__mix_src"]))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    src, n_parts, cdf, name = fresh_names(docs, "mix_src", "mix_parts", "mix_cdf", "mix_name")
+    table = rate.where("rate > 0").select(F.col("src").alias(src), parts.alias(n_parts), _distribution(F.col("rate") / parts).alias(cdf))
+    # Rows without an identifier draw by their place in the input, so that each has a draw of its own.
+    named = docs.withColumn(name, F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string"))))
+    known = named.join(sized_broadcast(table, MAX_BROADCAST_SOURCES), F.col(source_col).eqNullSafe(F.col(src)))
 
     def draw(j: Column) -> Column:
-        u = uniform(F.lit(str(seed)), name, j.cast("string"))
-        return F.size(F.filter("__mix_cdf", lambda c: c <= u))
+        u = uniform(F.lit(str(seed)), F.col(name), j.cast("string"))
+        return F.size(F.filter(cdf, lambda c: c <= u))
 
-    count = F.when(F.col("__mix_parts") == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("__mix_parts") - 1), F.lit(0), lambda a, j: a + draw(j)))
-    many = known.withColumn("mix_copies", count).where("mix_copies > 0").drop("__mix_src", "__mix_parts", "__mix_cdf")
+    count = F.when(F.col(n_parts) == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col(n_parts) - 1), F.lit(0), lambda a, j: a + draw(j)))
+    many = known.withColumn("mix_copies", count).where("mix_copies > 0").drop(src, n_parts, cdf)
     many = many.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("mix_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
-    many = many.withColumn("mix_order", order)
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col(name), F.col("mix_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    many = many.withColumn("mix_order", order).drop(name)
     # A hash-dealt, hash-sorted table: partitions are random samples in random order.
     return many.repartition("mix_order").sortWithinPartitions("mix_order") if shuffle else many
