@@ -159,10 +159,12 @@ def test_copies_match_brute_force(spark, temperature):
     want = {}
     for i, _, s, _ in rows:
         parts = max(1, math.ceil(rate[s] / M.PART))
-        want[i] = sum(poisson_brute(uniform_brute(M.SEED, "null" if i is None else i, j), rate[s] / parts) for j in range(parts)) if rate[s] else 0
+        want[i] = sum(poisson_brute(uniform_brute(M.SEED, i, j), rate[s] / parts) for j in range(parts)) if rate[s] else 0
     out = M.mixed(df, temperature=temperature)
     assert out.columns[:4] == ["doc_id", "text", "source", "rate"]
-    got = out.collect()
+    # A row without an identifier draws by its place: test_rows_without_identifier_draw_on_their_own.
+    got = [r for r in out.collect() if r.doc_id is not None]
+    want.pop(None, None)
     assert Counter(r.doc_id for r in got) == Counter({i: c for i, c in want.items() if c})
     assert all(r.mix_copies == want[r.doc_id] and 1 <= r.mix_copy <= r.mix_copies for r in got)
     if temperature == 1.0:
@@ -229,3 +231,15 @@ def test_repeated_and_unnamed_pages(spark, tmp_path):
     got = A.digest(A.archived(df, str(tmp_path / "w"))).collect()
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (0, "response", 0), (0, "revisit", 1), (1, "response", 0), (1, "response", 0)]
     assert A.digest(A.archived(df.limit(0), str(tmp_path / "none"))).count() == 0
+
+
+def test_rows_without_identifier_draw_on_their_own(spark):
+    rows = [(None if i % 2 else i, f"text {i}", "s", "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_name string").repartition(5)
+    out = M.mixed(df, weights=spark.createDataFrame([("s", 1.0)], "src string, weight double"))
+    got = out.collect()
+    assert out.columns == [*df.columns, "mix_copies", "mix_copy", "mix_order"]
+    null = [r for r in got if r.doc_id is None]
+    assert 350 < len(null) < 650 and len({r.mix_copies for r in null}) > 2
+    assert max(Counter(r.mix_order for r in null).values()) == 1
+    assert {r.mix_name for r in got} == {"x"}
