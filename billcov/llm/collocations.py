@@ -13,8 +13,8 @@ Score: a phrase of count a, cut into parts of counts l and r, has floor(10**6 *
 lowest-scoring cut counts, of equal ones the first.  Arithmetic is in decimals of 38 digits.
 
 Scale: texts are read once and never shuffled; what moves is a row for each shard and prefix range
-with packed arcs, about 12 bytes for each different n-gram of the shard, so a very common pair is one
-arc of each shard.  A range holds a bounded number of occurrences, their number follows the corpus.
+with packed arcs (a table of the symbols, two bytes for each use), so a very common pair is one arc of
+each shard.  A range holds a bounded number of occurrences, their number follows the corpus.
 Words that start very many candidates are join keys that Spark can split, or meet a word table whose
 size is checked.  The best phrases come from group-limited windows.
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ MIN_COUNT = 10
 CONTAINED_PERCENT = 50
 LIMIT = 2000
 #: Words of a shard, and bytes of text of a prefix range.
-SHARD_WORDS = 1 << 20
-RANGE_BYTES = 4 << 20
+SHARD_WORDS = 3 << 19
+RANGE_BYTES = 16 << 20
 MAX_BROADCAST = 1_000_000
 
 U64 = np.uint64
@@ -51,9 +52,8 @@ _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _INSIDE = ~_BREAK
 _INSIDE[[9, 32]] = False
 
-ARCS = "lang string, words boolean, range long, s1 binary, s2 binary, c2 binary, state binary, size binary, s3 binary, c3 binary, text binary"
-AUTOMATON = "lang string, range long, s1 binary, s2 binary, c2 binary, size binary, s3 binary, c3 binary"
-WORDS = "lang string, h long, word binary, count long, total long"
+ARCS = "lang string, words boolean, range long, symbols binary, s1 binary, s2 binary, c2 binary, state binary, size binary, s3 binary, c3 binary, text binary"
+UNITED = "lang string, range long, h long, word binary, count long, total long, s1 binary, s2 binary, c2 binary, size binary, s3 binary, c3 binary"
 QUERIES = "lang string, range long, s1 binary, s2 binary, s3 binary, a binary, l2 binary"
 CANDIDATES = "lang string, s1 long, s2 long, s3 long, a long, l2 long, r2 long"
 
@@ -67,6 +67,11 @@ def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return (key >> U64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(key), np.int64)
 
 
+def index_kind(n: int) -> str:
+    """Type of an index into a table of ``n`` entries."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def starts_of(key: np.ndarray) -> np.ndarray:
     """First places of the runs of equal values."""
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -109,7 +114,9 @@ class Transducer:
             one += a
             size = self.size[one]
             arcs = np.arange(int(size.sum())) + np.repeat(self.first[one] - (np.cumsum(size) - size), size)
-            cols = (self.s1[a:b], self.s2[a:b], self.c2[a:b].astype(np.uint32), state.astype(np.uint32), size.astype(np.uint32), self.s3[arcs], self.c3[arcs].astype(np.uint32))
+            symbols, use = np.unique(np.concatenate([self.s1[a:b], self.s2[a:b], self.s3[arcs]]), return_inverse=True)
+            use, m = use.astype(index_kind(len(symbols))), b - a
+            cols = (symbols, use[:m], use[m : 2 * m], self.c2[a:b].astype(np.uint32), state.astype(index_kind(len(one))), size.astype(np.uint32), use[2 * m :], self.c3[arcs].astype(np.uint32))
             yield int(of[a]), [c.tobytes() for c in cols]
 
 
@@ -140,11 +147,11 @@ def _shards(ranges: int, shard_words: int):
                 at = starts_of(of)
                 for a, b in zip(at, np.append(at[1:], len(h))):
                     z = size[spot[a:b]]
-                    rows.append((True, int(of[a]), h[a:b].tobytes(), None, count[a:b].astype(np.uint32).tobytes(), None, z.astype(np.uint32).tobytes(), None, None, _gather(text, start[spot[a:b]], z).tobytes()))
+                    rows.append((True, int(of[a]), h[a:b].tobytes(), None, None, count[a:b].astype(np.uint32).tobytes(), None, z.astype(np.uint32).tobytes(), None, None, _gather(text, start[spot[a:b]], z).tobytes()))
                 pair = mine & (n >= 2)
                 for r, fields in Transducer(s1[pair], s2[pair], s3[pair], n[pair] >= 3).packed(ranges):
                     rows.append((False, r, *fields, None))
-                kinds = [pa.bool_(), pa.int64()] + [pa.binary()] * 8
+                kinds = [pa.bool_(), pa.int64()] + [pa.binary()] * 9
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.record_batch([pa.array([name] * len(rows), pa.string()), *cols], names=[c.split()[0] for c in ARCS.split(", ")])
 
@@ -191,52 +198,61 @@ def _summed(order_keys: tuple[np.ndarray, ...], weight: np.ndarray) -> tuple[np.
     return order[at], np.add.reduceat(weight[order], at) if len(at) else np.zeros(0, np.int64)
 
 
-def _united_words(least: int):
-    def run(group: pa.Table) -> pa.Table:
-        """Words of a range with at least ``least`` occurrences, and a row (h null) with all occurrences."""
-        h, count, size = _read(group, "s1", "<u8"), _read(group, "c2", "<u4").astype(np.int64), _read(group, "size", "<u4").astype(np.int64)
-        text = _read(group, "text", "u1")
-        start = np.cumsum(size) - size
-        one, c = _summed((h,), count)
-        keep = c >= least
-        one = one[keep]
-        spelled = [text[a : a + n].tobytes() for a, n in zip(start[one], size[one])]
-        m = len(one)
-        pad = lambda x, v, t: pa.array([*x, v], t)
-        return pa.table(
-            {"lang": pa.array([group.column("lang")[0].as_py()] * (m + 1), pa.string()), "h": pad(h[one].view(np.int64).tolist(), None, pa.int64()), "word": pad(spelled, None, pa.binary()), "count": pad(c[keep].tolist(), None, pa.int64()), "total": pad([None] * m, int(count.sum()), pa.int64())}
-        )
-
-    return run
+def _united_words(group: pa.Table, least: int) -> tuple[np.ndarray, list[bytes], np.ndarray, int]:
+    """(hash, bytes, count) of the words with at least ``least`` occurrences, and all words' occurrences."""
+    h, count, size = _read(group, "symbols", "<u8"), _read(group, "c2", "<u4").astype(np.int64), _read(group, "size", "<u4").astype(np.int64)
+    text = _read(group, "text", "u1")
+    start = np.cumsum(size) - size
+    one, c = _summed((h,), count)
+    one, c = one[c >= least], c[c >= least]
+    return h[one], [text[a : a + n].tobytes() for a, n in zip(start[one], size[one])], c, int(count.sum())
+
+
+def _united_arcs(group: pa.Table, least: int) -> dict[str, np.ndarray]:
+    """The automaton of a range: all shards' weights added up, without counts below ``least``."""
+    pairs: list[list[np.ndarray]] = [[], [], []]
+    arcs: list[list[np.ndarray]] = [[], [], []]
+    at = 0
+    for symbols, s1, s2, c2, state, size, s3, c3 in zip(*(group.column(c).to_pylist() for c in ("symbols", "s1", "s2", "c2", "state", "size", "s3", "c3"))):
+        symbols, size = np.frombuffer(symbols, dtype="<u8"), np.frombuffer(size, dtype="<u4").astype(np.int64)
+        use = index_kind(len(symbols))
+        s1, s2, s3 = (symbols[np.frombuffer(x, dtype=use)] for x in (s1, s2, s3))
+        c2, c3 = (np.frombuffer(x, dtype="<u4").astype(np.int64) for x in (c2, c3))
+        state = np.frombuffer(state, dtype=index_kind(len(size)))
+        n = size[state]
+        each = np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[state] - (np.cumsum(n) - n), n)
+        for to, x in zip(pairs, (s1, s2, c2)):
+            to.append(x)
+        for to, x in zip(arcs, (np.repeat(np.arange(at, at + len(s1)), n), s3[each], c3[each])):
+            to.append(x)
+        at += len(s1)
+    s1, s2, c2 = (np.concatenate(x) for x in pairs)
+    owner, s3, c3 = (np.concatenate(x) for x in arcs)
+    key = pair_key(s1, s2)
+    one, total = _summed((key,), c2)
+    one, total = one[total >= least], total[total >= least]
+    arc, count = _summed((key[owner], s3), c3)
+    arc, count = arc[count >= least], count[count >= least]
+    # A triple's pair is at least as frequent, so it is there; both are in order of the key.
+    cut = np.searchsorted(key[owner[arc]], key[one])
+    return {"s1": s1[one], "s2": s2[one], "c2": total, "size": np.diff(np.append(cut, len(arc))), "s3": s3[arc], "c3": count}
 
 
 def _united(least: int):
     def run(group: pa.Table) -> pa.Table:
-        """The automaton of a range: all shards' weights added up, without counts below ``least``."""
-        s1, s2, c2 = _read(group, "s1", "<u8"), _read(group, "s2", "<u8"), _read(group, "c2", "<u4").astype(np.int64)
-        key = pair_key(s1, s2)
-        owner, sym, weight = [], [], []
-        at = 0
-        for state, size, s3, c3 in zip(*(group.column(c).to_pylist() for c in ("state", "size", "s3", "c3"))):
-            state, size, s3, c3 = (np.frombuffer(x, dtype=t) for x, t in zip((state, size, s3, c3), ("<u4", "<u4", "<u8", "<u4")))
-            size = size.astype(np.int64)
-            n = size[state]
-            arcs = np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[state] - (np.cumsum(n) - n), n)
-            owner.append(np.repeat(np.arange(at, at + len(state)), n))
-            sym.append(s3[arcs])
-            weight.append(c3[arcs].astype(np.int64))
-            at += len(state)
-        owner, sym, weight = np.concatenate(owner), np.concatenate(sym), np.concatenate(weight)
-        one, total = _summed((key,), c2)
-        one, total = one[total >= least], total[total >= least]
-        arc, count = _summed((key[owner], sym), weight)
-        arc, count = arc[count >= least], count[count >= least]
-        # A triple's pair is at least as frequent, so it is there; both are in order of the key.
-        cut = np.searchsorted(key[owner[arc]], key[one])
-        size = np.diff(np.append(cut, len(arc)))
-        fields = {"s1": s1[one], "s2": s2[one], "c2": total, "size": size, "s3": sym[arc], "c3": count}
-        one_row = {c: pa.array([x.tobytes()], pa.binary()) for c, x in fields.items()}
-        return pa.table({"lang": group.column("lang").slice(0, 1).combine_chunks(), "range": group.column("range").slice(0, 1).combine_chunks(), **one_row})
+        """Rows of a range's words, a row (total) with their occurrences, and a row with its automaton."""
+        is_word = group.column("words").combine_chunks()
+        words, arcs = group.filter(is_word), group.filter(pa.compute.invert(is_word))
+        h, spelled, count, total = _united_words(words, least)
+        m = len(h)
+        automaton = {c: [x.tobytes()] for c, x in _united_arcs(arcs, least).items()} if len(arcs) else {}
+        after = [None] * (1 + bool(automaton))
+        col = lambda x, t: pa.array([*x, *after], t)
+        cols = [pa.array(group.column(c)[:1].to_pylist() * (m + len(after)), t) for c, t in (("lang", pa.string()), ("range", pa.int64()))]
+        cols += [col(h.view(np.int64).tolist(), pa.int64()), col(spelled, pa.binary()), col(count.tolist(), pa.int64())]
+        cols.append(pa.array([None] * m + [total] + after[1:], pa.int64()))
+        cols += [pa.array([None] * (m + 1) + automaton.get(c, []), pa.binary()) for c in ("s1", "s2", "c2", "size", "s3", "c3")]
+        return pa.table(cols, names=[c.split()[0] for c in UNITED.split(", ")])
 
     return run
 
@@ -309,9 +325,10 @@ def phrase_counts(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "t
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(4, (size // range_bytes).bit_length())
-    arcs = written(texts.mapInArrow(W.tidied(_shards(ranges, shard_words)), ARCS), "transducers")
-    words = written(arcs.where("words").groupBy("lang", "range").applyInArrow(_united_words(min_count), WORDS), "words")
-    automata = written(arcs.where("not words").groupBy("lang", "range").applyInArrow(_united(min_count), AUTOMATON), "automata")
+    arcs = texts.mapInArrow(W.tidied(_shards(ranges, shard_words)), ARCS)
+    united = written(arcs.groupBy("lang", "range").applyInArrow(_united(min_count), UNITED), "automata")
+    words = united.where("s1 is null").select("lang", "h", "word", "count", "total")
+    automata = united.where("s1 is not null").select("lang", "range", "s1", "s2", "c2", "size", "s3", "c3")
     queries = automata.mapInArrow(W.tidied(_queries(ranges)), QUERIES)
     found = automata.groupBy("lang", "range").cogroup(queries.groupBy("lang", "range")).applyInArrow(_composed(contained_percent), CANDIDATES)
     return words, written(found, "phrases")
