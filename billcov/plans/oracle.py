@@ -272,6 +272,12 @@ tt AS (SELECT bill_number, year, array_to_string(toks, ' ') AS title_clean, CAST
 SELECT bill_number, year, term, count(*) AS n
 FROM (SELECT bill_number, year, unnest(regexp_extract_all(lower(title_clean), '[\p{L}\p{N}_]{2,}')) AS term FROM tt)
 GROUP BY ALL""", "bills"),
+        "term_matrix": with_views(tt + r"""
+, c AS (
+SELECT bill_number, year, term, count(*) AS n
+FROM (SELECT bill_number, year, unnest(regexp_extract_all(lower(title_clean), '[\p{L}\p{N}_]{2,}')) AS term FROM tt)
+GROUP BY ALL)
+SELECT bill_number, year, dense_rank() OVER (ORDER BY term) - 1 AS term_id, n FROM c""".replace("\\p", "\p"), "bills"),
     }
 
 
