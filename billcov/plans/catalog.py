@@ -65,10 +65,14 @@ def q_top_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.top_topic(fx.bill_topics(spark, sf_dir))
 
 
-def _model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _model_table(spark: SparkSession, sf_dir: str, similarity: bool = True, topics: DataFrame | None = None) -> DataFrame:
+    """The model table; top topics come from the fixture unless given."""
+    from billcov.operators.similarity import similarity_flags
+
     sites = art.fixture_sites()
     wide = art.article_counts_wide(art.article_counts(fx.articles(spark, sf_dir), sites), sites)
-    return mt.model_table(q_bill_features(spark, sf_dir), wide, topics=q_top_topic(spark, sf_dir))
+    flags = similarity_flags(fx.bill_texts(spark, sf_dir)) if similarity else None
+    return mt.model_table(q_bill_features(spark, sf_dir), wide, topics=q_top_topic(spark, sf_dir) if topics is None else topics, similarity=flags)
 
 
 def q_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,7 @@ def q_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_article_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.article_bins(mt.model_frame(_model_table(spark, sf_dir)), art.fixture_sites())
+    return mt.article_bins(mt.model_frame(_model_table(spark, sf_dir, similarity=False)), art.fixture_sites())
 
 
 def q_feature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +217,21 @@ def q_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.lda_scores(tp.grid_scores(spark, tp.topic_grid(fx.bills(spark, sf_dir))[3]))[0]
 
 
-def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.model_frame(_model_table(spark, sf_dir))
+def _frame(spark: SparkSession, sf_dir: str, fitted: bool = True) -> DataFrame:
+    """The analysis frame with fitted topics (best model of the grid), or the fixture's."""
+    topics = mt.top_topic(q_topic_distribution(spark, sf_dir)) if fitted else None
+    return mt.model_frame(_model_table(spark, sf_dir, topics=topics))
+
+
+def q_fitted_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis frame as the models see it: similarity flags and top topics of the fitted topic model."""
+    return _frame(spark, sf_dir)
+
+
+def _topic_levels(frame: DataFrame) -> list[str]:
+    """Topics that lead some title, in order; the first is the base (at most 20 levels)."""
+    found = [r[0] for r in frame.select("Top_Topic").distinct().collect() if r[0]]
+    return sorted(found, key=lambda t: int(t.removeprefix("Topic")))
 
 
 def _base_year(frame: DataFrame) -> str:
@@ -232,13 +249,14 @@ def q_logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_effect_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = lg.prepare(_frame(spark, sf_dir))
     fit = lg.fit_logit(frame, "committees", lg.FORMULAS["committees"])
-    return lg.effect_table(frame, fit, base_year=_base_year(frame))
+    base, other, *_ = _topic_levels(frame)
+    return lg.effect_table(frame, fit, base_year=_base_year(frame), base_topic=base, topics=(base, other))
 
 
 def q_fitted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = lg.prepare(_frame(spark, sf_dir))
     fit = lg.fit_logit(frame, "committees", lg.FORMULAS["committees"])
-    return lg.fitted_ranking(frame, fit)
+    return lg.fitted_ranking(frame, fit, topic=_topic_levels(frame)[0])
 
 
 QUERIES.update({
@@ -248,6 +266,7 @@ QUERIES.update({
     "topic_distribution": q_topic_distribution,
     "topic_keywords": q_topic_keywords,
     "topic_scores": q_topic_scores,
+    "fitted_model_frame": q_fitted_model_frame,
     "logit_coefficients": q_logit_coefficients,
     "effect_table": q_effect_table,
     "fitted_ranking": q_fitted_ranking,

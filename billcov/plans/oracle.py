@@ -83,13 +83,29 @@ tt AS (SELECT bill_number, year,
                    WHEN Topic2 >= Topic3 THEN 'Topic2' ELSE 'Topic3' END AS Top_Topic
        FROM bill_topics)"""
 
-_MODEL_CTES = _BILL_FEATURES_CTES + "," + _COUNTS_CTES + "," + _TOP_TOPIC_CTE + r""",
+# Brute force over all pairs of distinct texts that share a word (no prefix filter) – the exact definition.
+_SIM_CTES = r"""
+tk AS (SELECT text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS toks FROM (SELECT DISTINCT text FROM bill_texts)),
+tk2 AS (SELECT *, len(toks) AS n, sha256(array_to_string(list_sort(toks), ' ')) AS tkey FROM tk),
+bt AS (SELECT b.bill_number, b.year, tk2.n, tk2.tkey, tk2.toks FROM bill_texts b LEFT JOIN tk2 ON tk2.text = b.text),
+tx AS (SELECT tkey, min(CAST(year AS INT)) AS min_year, any_value(toks) AS toks, any_value(n) AS n FROM bt WHERE n > 0 GROUP BY tkey),
+tw AS (SELECT tkey, n, min_year, unnest(toks) AS token FROM tx),
+pr AS (SELECT a, min(yb) AS sim_year
+       FROM (SELECT x.tkey AS a, y.tkey AS b, x.n AS na, y.n AS nb, y.min_year AS yb, count(*) AS o FROM tw x JOIN tw y ON x.token = y.token AND x.tkey <> y.tkey GROUP BY ALL)
+       WHERE o / (na + nb - o) >= 0.8 GROUP BY a),
+sim AS (SELECT bt.bill_number, bt.year,
+       CASE WHEN coalesce(bt.n, 0) = 0 THEN 0
+            WHEN least(tx.min_year, coalesce(pr.sim_year, tx.min_year)) < CAST(bt.year AS INT) THEN 1 ELSE 0 END AS Bill_Sim_Binary
+FROM bt LEFT JOIN tx USING (tkey) LEFT JOIN pr ON pr.a = bt.tkey)"""
+
+_MODEL_CTES = _BILL_FEATURES_CTES + "," + _COUNTS_CTES + "," + _TOP_TOPIC_CTE + "," + _SIM_CTES + r""",
 mt AS (SELECT bf.bill_number, bf.year, bf.bill_id, bf.passed, bf.Committee_Intro_Count, bf.Committees_Concat,
               bf.sen_intro, bf.SponsorCount, bf.RepubSponsorPct,
               coalesce(w.AZCen_Count, 0) AS AZCen_Count, coalesce(w.AZDS_Count, 0) AS AZDS_Count,
               coalesce(w.AZCap_Count, 0) AS AZCap_Count, coalesce(w.PNT_Count, 0) AS PNT_Count,
-              CAST(NULL AS INT) AS Bill_Sim_Binary, tt.Top_Topic
-       FROM bf LEFT JOIN wide w ON w.Bill = bf.bill_number AND CAST(w.Year AS VARCHAR) = bf.year
+              sim.Bill_Sim_Binary, tt.Top_Topic
+       FROM bf LEFT JOIN sim ON sim.bill_number = bf.bill_number AND sim.year = bf.year
+               LEFT JOIN wide w ON w.Bill = bf.bill_number AND CAST(w.Year AS VARCHAR) = bf.year
                LEFT JOIN tt ON tt.bill_number = bf.bill_number AND tt.year = bf.year),
 mf AS (SELECT bill_number, year, bill_id, coalesce(passed, 0) AS passed,
               CAST(length(Committees_Concat) - length(replace(Committees_Concat, ',', '')) + 1 AS BIGINT) AS Committee_Intro_Count,
@@ -98,7 +114,7 @@ mf AS (SELECT bill_number, year, bill_id, coalesce(passed, 0) AS passed,
               coalesce(Bill_Sim_Binary, 0) AS Bill_Sim_Binary, Top_Topic
        FROM mt)"""
 
-_ALL_VIEWS = ("bills", "history", "people", "sponsors", "articles", "bill_topics")
+_ALL_VIEWS = ("bills", "history", "people", "sponsors", "articles", "bill_topics", "bill_texts")
 
 
 def _sql_model() -> dict[str, str]:
@@ -277,25 +293,11 @@ GROUP BY ALL""", "bills"),
 SELECT bill_number, year, term, count(*) AS n
 FROM (SELECT bill_number, year, unnest(regexp_extract_all(lower(title_clean), '[\p{L}\p{N}_]{2,}')) AS term FROM tt)
 GROUP BY ALL)
-SELECT bill_number, year, dense_rank() OVER (ORDER BY term) - 1 AS term_id, n FROM c""".replace("\\p", "\p"), "bills"),
+SELECT bill_number, year, dense_rank() OVER (ORDER BY term) - 1 AS term_id, n FROM c""", "bills"),
     }
 
 
 ORACLE_SQL.update(_sql_text())
 
 
-# Brute force over all pairs of distinct texts (no prefix filter) – the exact definition.
-ORACLE_SQL["similar_bills"] = with_views(r"""WITH
-tk AS (SELECT bill_number, year,
-              list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS toks
-       FROM bill_texts),
-tk2 AS (SELECT *, len(toks) AS n, sha256(array_to_string(list_sort(toks), ' ')) AS tkey FROM tk),
-tx AS (SELECT tkey, min(CAST(year AS INT)) AS min_year, any_value(toks) AS toks, any_value(n) AS n FROM tk2 WHERE n > 0 GROUP BY tkey),
-pr AS (SELECT a.tkey, min(b.min_year) AS sim_year
-       FROM tx a JOIN tx b ON a.tkey <> b.tkey AND b.n >= a.n * 0.8 - 1e-9 AND a.n >= b.n * 0.8 - 1e-9
-       WHERE len(list_intersect(a.toks, b.toks)) / (a.n + b.n - len(list_intersect(a.toks, b.toks))) >= 0.8
-       GROUP BY a.tkey)
-SELECT tk2.bill_number, tk2.year,
-       CASE WHEN tk2.n = 0 THEN 0
-            WHEN least(tx.min_year, coalesce(pr.sim_year, tx.min_year)) < CAST(tk2.year AS INT) THEN 1 ELSE 0 END AS Bill_Sim_Binary
-FROM tk2 LEFT JOIN tx USING (tkey) LEFT JOIN pr USING (tkey)""", "bills", "bill_texts")
+ORACLE_SQL["similar_bills"] = with_views("WITH" + _SIM_CTES + "\nSELECT * FROM sim", "bills", "bill_texts")
