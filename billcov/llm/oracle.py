@@ -45,9 +45,11 @@ def _found(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
 
 OP2 = f"""
 WITH c AS ({" UNION ALL ".join(_found(k, r, p, g, least) for r, (k, p, g, least) in enumerate(S.KINDS))}),
-o AS (SELECT val, count(DISTINCT coalesce(source, '')) AS owners FROM c GROUP BY val),
-j AS (
-  SELECT c.*, owners > {S.MAX_OWNERS} AS example, owners <= {S.MAX_OWNERS} AND (val LIKE '-----BEGIN%' OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
+o AS (
+  SELECT val, owners, repositories, owners > {S.MAX_OWNERS} OR repositories > {S.MAX_REPOSITORIES} AS example
+  FROM (SELECT val, count(DISTINCT coalesce(source, '')) AS owners, count(*) AS repositories FROM (SELECT DISTINCT val, source, doc_id FROM c) GROUP BY val)
+), j AS (
+  SELECT c.*, owners, repositories, example, NOT example AND (val LIKE '-----BEGIN%' OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
     AND len(list_distinct(string_split(val, ''))) >= {S.MIN_DISTINCT_CHARS} AND NOT regexp_matches(val, '{S.PLACEHOLDER}'))) AS live
   FROM c JOIN o USING (val)
 ), spans AS (
@@ -57,9 +59,12 @@ j AS (
     coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3), '') AS base,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans
   FROM spans GROUP BY doc_id
-), n AS (SELECT doc_id, count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example FROM j GROUP BY doc_id)
+), n AS (
+  SELECT doc_id, count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example,
+    string_agg(kind || ':' || start || ':' || stop || ':' || owners || ':' || repositories, ',' ORDER BY start, rank, stop) AS spread FROM j GROUP BY doc_id
+)
 SELECT documents.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(spread, '') AS spread, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
 """
 

@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency (operator 2), DataFrame operations only.
 
 Method: patterns find candidate secrets; a candidate's hash is counted over the corpus by distinct
-repositories (documents) and distinct owners (sources).  A value that several owners hold is a
-widely copied example; one that stays with its owner and looks live (no placeholder, mixed and
-varied characters) is reported as ``live``, over the value alone.  Pattern spans stay in any case.
+repositories (documents) and distinct owners (sources).  A value of more than ``MAX_OWNERS`` owners
+or more than ``MAX_REPOSITORIES`` repositories is a widely copied example; one that stays with its
+owner, in few repositories, and looks live (no placeholder, mixed and varied characters) is reported
+as ``live``, over the value alone.  Pattern spans stay in any case, each with both counts of its value.
 
 Offsets are code points.  A text's matches and the pieces between them alternate, so a match starts
 after the lengths of all pieces and matches before it: a running sum over the document's rows.
@@ -36,8 +37,9 @@ PROVIDER = (
 KINDS = [("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("provider", PROVIDER, 0, 1)]
 BASE = ["assign", "access", "hex"]
 
-#: A value of more owners than this is an example.
+#: A value of more owners, or of more repositories, than this is an example.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 20
 MIN_DISTINCT_CHARS = 6
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|redacted|xxxx|your"
 
@@ -102,24 +104,30 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: doc_id, spans array<(start, rank, kind, end)> in order, n_live, n_example."""
+def secret_spans(
+    docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
+    """One row per document: doc_id, spans array<(start, rank, kind, end)> in order, spread array<(start, rank, kind, end, owners, repositories)>, n_live, n_example."""
     rows, found = candidates(docs, id_col=id_col, owner_col=owner_col, text_col=text_col)
     found = written(found, "secret-candidates")
     spread = ownership(found).select(F.col("value_hash").alias("h"), "owners", "repositories")
-    judged = found.join(spread, F.col("value_hash") == F.col("h")).withColumn("live", F.col("looks_live") & (F.col("owners") <= max_owners))
+    example = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    judged = found.join(spread, F.col("value_hash") == F.col("h")).withColumn("example", example).withColumn("live", F.col("looks_live") & ~F.col("example"))
     span = lambda start, rank, kind: F.struct(start.alias("start"), F.lit(rank).alias("rank") if isinstance(rank, int) else rank.alias("rank"), kind.alias("kind"), F.col("end").alias("end"))
     spans = F.array_append(F.array(span(F.col("start"), F.col("rank"), F.col("kind"))), F.when(F.col("live"), span(F.col("value_start"), len(KINDS), F.lit("live"))))
     of_doc = judged.groupBy("rid").agg(
         F.array_sort(F.flatten(F.collect_list(F.array_compact(spans)))).alias("spans"),
+        F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "owners", "repositories"))).alias("spread"),
         F.count_if("live").alias("n_live"),
-        F.count_if(F.col("owners") > max_owners).alias("n_example"),
+        F.count_if("example").alias("n_example"),
     )
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+    unknown = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,owners:bigint,repositories:bigint>>")
     # A value that two kinds find is live once.
     return rows.join(of_doc.withColumn("spans", F.array_distinct("spans")), "rid", "left").select(
-        "doc_id", F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example")
-    )
+        "doc_id", F.coalesce("spans", none).alias("spans"), F.coalesce("spread", unknown).alias("spread"),
+        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+    )
 
 
 def joined(spans: Column) -> Column:
@@ -130,7 +138,8 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    spread = F.array_join(F.transform("spread", lambda s: F.concat_ws(":", *[s[c].cast("string") for c in ("kind", "start", "end", "owners", "repositories")])), ",")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
-        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_example",
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), spread.alias("spread"), "n_live", "n_example",
     )

@@ -64,6 +64,14 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert got[14].spans == "" and got[14].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    few, many = "password=Zx9Qw7Lk2m", "token=Ab3Cd5Ef7Gh"
+    rows = [(i, few if i < S.MAX_REPOSITORIES else many, "a") for i in range(2 * S.MAX_REPOSITORIES + 1)]
+    got = {r.doc_id: r for r in S.digest(S.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert got[0].spread == f"assign:0:{len(few)}:1:{S.MAX_REPOSITORIES}" and (got[0].n_live, got[0].n_example) == (1, 0)
+    assert got[20].spread == f"assign:0:{len(many)}:1:{S.MAX_REPOSITORIES + 1}" and (got[20].n_live, got[20].n_example) == (0, 1)
+
+
 def test_secrets_in_repeated_rows_and_empty_tables(spark):
     rows = [(1, "password=Zx9Qw7Lk2m", "a"), (1, "password=Zx9Qw7Lk2m", "a"), (None, "password=Zx9Qw7Lk2m", None), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
