@@ -210,19 +210,19 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            for doc, raw, raw_hash in zip(*(c.to_pylist() for c in part.columns)):
-                text = normalised(raw or b"")
+            for doc, raw, raw_hash in zip(*(part.column(k) for k in range(3))):
+                text = normalised(raw.as_py() or b"")
                 t = trie.find_or_add(text, lambda: len(texts))
                 if t == len(texts):
                     texts.append(text)
                     members.append([])
                     raws.append([])
                     held += len(text)
-                members[t].append(doc)
-                raws[t].append(raw_hash)
+                members[t].append(doc.as_py())
+                raws[t].append(raw_hash.as_py())
                 held += 24
-            if held >= BLOCK_BYTES:
-                yield flush()
+                if held >= BLOCK_BYTES:
+                    yield flush()
     if texts:
         yield flush()
 
