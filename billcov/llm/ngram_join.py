@@ -285,7 +285,9 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def _sets_pass(k: int):
+def _sets_pass(k: int, element: str = "<u8"):
+    """Rows (key, n, bits, elements); ``element``: type of an element, ``<u4`` keeps half of each hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, offsets in W.slices(batch.column(0)):
@@ -298,7 +300,7 @@ def _sets_pass(k: int):
                         pa.array(keys, pa.int64()),
                         pa.array([len(x) for x in parts], pa.int64()),
                         pa.array([bits.to_bytes(width // 8, "little") for width, bits in sig], pa.binary()),
-                        pa.array([x.tobytes() for x in parts], pa.binary()),
+                        pa.array([(x if element == "<u8" else np.unique((x >> U64(32)).astype(element))).tobytes() for x in parts], pa.binary()),
                     ],
                     names=["key", "n", "bits", "elements"],
                 )
@@ -306,6 +308,17 @@ def _sets_pass(k: int):
     return run
 
 
+def _once(run):
+    """The rows of ``run`` without those whose key the task has given before."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in run(batches):
+            yield batch.filter(pa.array([k not in seen and not seen.add(k) for k in batch.column(0).to_pylist()], pa.bool_()))
+
+    return inner
+
+
 def _bounded(t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs that the signatures let through."""
@@ -347,10 +360,11 @@ def tile_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: in
     return links
 
 
-def _tile(t: int):
+def _tile(t: int, element: str = "<u8"):
     def run(group: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, dtype="<u8") for x in group.column("elements").to_pylist()]
-        links = tile_links(group.column("key").to_numpy(), sets, group.column("side").to_numpy(), t)
+        keys, one = np.unique(group.column("key").to_numpy(), return_index=True)  # copies with one identifier come once from each task
+        elements = group.column("elements").to_pylist()
+        links = tile_links(keys, [np.frombuffer(elements[i], dtype=element).astype(U64) for i in one], group.column("side").to_numpy()[one], t)
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
     return run
@@ -408,7 +422,7 @@ def _spots(classes: DataFrame, t: int, tile: int) -> DataFrame:
     )
 
 
-def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, run_limit: int = RUN, tile: int = TILE, frequent_from: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, run_limit: int = RUN, tile: int = TILE, frequent_from: int = FREQUENT, element: str = "<u8") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, key; links: u, v between keys of classes) with 100 * overlap >= threshold * union."""
     spark = docs.sparkSession
     texts = _docs(docs, id_col, text_col)
@@ -427,16 +441,17 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     named = documents.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     chosen = sized_broadcast(named.join(wanted, "key").select(F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")), MAX_BROADCAST)
     again = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("text", "rep_key")
-    sets = written(again.select("text").mapInArrow(W.tidied(_sets_pass(shingle)), "key long, n long, bits binary, elements binary"), "sets")
+    sets = written(again.select("text").mapInArrow(W.tidied(_once(_sets_pass(shingle, element))), "key long, n long, bits binary, elements binary"), "sets")
+    one = sets.select("key", "n", "bits")
     if sets.groupBy("key").count().where("count > 1").limit(1).count():  # only rows repeated with their identifier
-        sets = written(sets.dropDuplicates(["key"]), "sets")
-    small = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+        one = one.dropDuplicates(["key"])
+    small = lambda x: one.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
     both = pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
     likely = both.mapInArrow(W.tidied(_bounded(threshold)), "u long, v long")
     families = components(likely.unionByName(_stars(members))).select(F.col("node").alias("key"), F.col("component").alias("family"))
-    spots = written(_spots(sets.select("key", "n").join(families, "key"), threshold, tile), "tiles")
+    spots = written(_spots(one.select("key", "n").join(families, "key"), threshold, tile), "tiles")
     placed = sets.select("key", "elements").join(sized_broadcast(spots, MAX_BROADCAST), "key")
-    return documents, placed.groupBy("family", "low", "i", "high", "j").applyInArrow(_tile(threshold), "u long, v long")
+    return documents, placed.groupBy("family", "low", "i", "high", "j").applyInArrow(_tile(threshold, element), "u long, v long")
 
 
 def ngram_components(docs: DataFrame, **options: object) -> DataFrame:

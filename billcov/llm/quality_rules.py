@@ -149,13 +149,16 @@ def _on(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> D
     return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), how).drop(*[f"_{c}" for c in names])
 
 
-def _near_copies(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
+def _near_copies(docs: DataFrame, id_col: str, host_col: str, text_col: str, hits: DataFrame, scan: DataFrame) -> DataFrame:
     """(text_hash, document) of each text in ``hits``: near copies are one document."""
-    wanted = written(hits.select(F.col("text_hash").alias("wanted")).distinct(), "line-texts")
-    texts = docs.select(_text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    held = texts.join(sized_broadcast(wanted, MAX_BROADCAST), F.col("text_hash") == F.col("wanted"), "left_semi")
-    # Equal texts have one identifier here, so they are one class whatever their number.
-    return ngram_join.ngram_components(held, id_col="text_hash").select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("document")).distinct()
+    # One row stands for equal texts: the one of the smallest identifier and host (and rows that repeat these).
+    named = hits.select("rid").distinct().join(scan.select("rid", "doc_id", "host", "text_hash"), "rid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("host").isNull().alias("nowhere"), "host"))
+    wanted = written(named.groupBy(F.col("text_hash").alias("w_text")).agg(first.alias("w")).select("w_text", F.col("w.doc_id").alias("w_id"), F.col("w.host").alias("w_host")), "line-texts")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    chosen = (F.col("text_hash") == F.col("w_text")) & F.col("id").eqNullSafe(F.col("w_id")) & F.col("host").eqNullSafe(F.col("w_host"))
+    held = texts.join(sized_broadcast(wanted, MAX_BROADCAST), chosen, "left_semi").select("text_hash", "text")
+    return ngram_join.ngram_components(held, id_col="text_hash", element="<u4").select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("document")).distinct()
 
 
 def _text_hash(text_col: str) -> Column:
@@ -199,7 +202,7 @@ def _verdicts(
         frequent = common.select("host", "line")
     else:
         holding = hits.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one")).drop("one")
-        near = written(_near_copies(docs, text_col, hits), "line-documents")
+        near = written(_near_copies(docs, id_col, host_col, text_col, hits, scan), "line-documents")
         frequent = written(
             _on(holding, near, "text_hash")
             .groupBy("host", "line", "document")
