@@ -197,6 +197,13 @@ def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.token_counts(tp.title_tokens(fx.bills(spark, sf_dir)))
 
 
+def q_lemmatised_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title's tokens as lemmas, by a dictionary and the suffix rules learned from it."""
+    from billcov.operators import lemmas
+
+    return lemmas.lemmatised(tp.title_tokens(fx.bills(spark, sf_dir)), fx.lemmas(spark, sf_dir))
+
+
 def q_term_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's term counts by alphabetical term number (the whole vocabulary)."""
     counts = tp.token_counts(tp.title_tokens(fx.bills(spark, sf_dir)))
@@ -263,6 +270,7 @@ QUERIES.update({
     "title_tokens": q_title_tokens,
     "token_counts": q_token_counts,
     "term_matrix": q_term_matrix,
+    "lemmatised_titles": q_lemmatised_titles,
     "topic_distribution": q_topic_distribution,
     "topic_keywords": q_topic_keywords,
     "topic_scores": q_topic_scores,
@@ -312,3 +320,47 @@ def q_bill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["bill_text"] = q_bill_text
+
+
+# ---- pages in the sites' layouts, session folders ----------------------------------------------
+
+from billcov.sources import readers, sinks, site_pages  # noqa: E402
+
+
+def q_site_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, author and text of article pages in six site layouts, by the sites' rules."""
+    from pyspark.sql import functions as F
+
+    out = hx.extract_articles(site_pages.site_pages(spark, sf_dir))
+    return out.select("page_id", "url", "site", "Title", "Author", F.sha2("Text", 256).alias("text_sha256"), "status")
+
+
+def q_bill_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bill text: the last WordSection2, else Section2."""
+    from pyspark.sql import functions as F
+
+    out = hx.extract_bill_text(site_pages.bill_pages(spark, sf_dir))
+    return out.select("page_id", F.sha2("Bill_Text", 256).alias("text_sha256"), F.length("Bill_Text").alias("n_chars"), "status")
+
+
+def q_result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of search result pages, relative ones completed."""
+    return hx.extract_links(site_pages.result_pages(spark, sf_dir), prefix="https://site.test")
+
+
+def q_session_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bills written to one CSV folder for each session year and read back for three of the years.
+
+    The year comes from the path, so the filter on it leaves out the other years' files."""
+    from pyspark.sql import functions as F
+
+    root = sinks.write_sessions(fx.bills(spark, sf_dir), "bills")
+    return readers.read_session_table(spark, root, "bills").where(F.col("year").isin("1993", "1995", "1997"))
+
+
+QUERIES.update({
+    "site_articles": q_site_articles,
+    "bill_sections": q_bill_sections,
+    "result_links": q_result_links,
+    "session_bills": q_session_bills,
+})

@@ -294,6 +294,21 @@ SELECT bill_number, year, term, count(*) AS n
 FROM (SELECT bill_number, year, unnest(regexp_extract_all(lower(title_clean), '[\p{L}\p{N}_]{2,}')) AS term FROM tt)
 GROUP BY ALL)
 SELECT bill_number, year, dense_rank() OVER (ORDER BY term) - 1 AS term_id, n FROM c""", "bills"),
+        "lemmatised_titles": with_views(tt + r"""
+, x AS (SELECT bill_number, year, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM s3),
+p AS (SELECT form, min(lemma) AS lemma FROM lemmas GROUP BY form),
+q AS (SELECT form, lemma, list_max(list_filter(range(0, least(length(form), length(lemma)) + 1), lambda k: left(form, k) = left(lemma, k))) AS same FROM p),
+e AS (SELECT length(form) - same AS strip, substr(lemma, same + 1) AS ending, right(form, k) AS suffix FROM q, range(1, 6) r(k)
+      WHERE k BETWEEN greatest(length(form) - same, 1) AND length(form)),
+v AS (SELECT suffix, strip, ending, count(*) AS votes FROM e GROUP BY ALL),
+rules AS (SELECT suffix, strip, ending FROM v
+          QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY votes DESC, strip, ending) = 1 AND sum(votes) OVER (PARTITION BY suffix) >= 3),
+u AS (SELECT DISTINCT x.term, p.lemma FROM x LEFT JOIN p ON p.form = x.term),
+h AS (SELECT u.term, strip, ending FROM u JOIN rules ON suffix = right(u.term, length(suffix)) AND length(suffix) <= length(u.term)
+      WHERE strip < length(u.term) AND u.lemma IS NULL QUALIFY row_number() OVER (PARTITION BY u.term ORDER BY length(suffix) DESC) = 1),
+l AS (SELECT u.term, coalesce(u.lemma, left(u.term, length(u.term) - strip) || ending, u.term) AS lemma FROM u LEFT JOIN h ON h.term = u.term)
+SELECT s3.bill_number, s3.year, coalesce(string_agg(l.lemma, ' ' ORDER BY x.pos), '') AS title_lemmas
+FROM s3 LEFT JOIN x ON x.bill_number = s3.bill_number AND x.year = s3.year LEFT JOIN l ON l.term = x.term GROUP BY s3.bill_number, s3.year""", "bills", "lemmas"),
     }
 
 
@@ -301,3 +316,34 @@ ORACLE_SQL.update(_sql_text())
 
 
 ORACLE_SQL["similar_bills"] = with_views("WITH" + _SIM_CTES + "\nSELECT * FROM sim", "bills", "bill_texts")
+
+
+# ---- pages in the sites' layouts, session folders ----------------------------------------------
+
+_LINES = "array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''), ' ')"
+
+ORACLE_SQL["site_articles"] = f"""
+WITH d AS (
+  SELECT doc_id, ['azcapitoltimes', 'azcentral', 'azdailystar', 'phoenixnewtimes', 'cronkitepbs', 'foxphoenix'][doc_id % 6 + 1] AS site, {_LINES} AS body FROM documents
+), e AS (SELECT *, doc_id % 10 = 9 AND site <> 'cronkitepbs' AS failed FROM d)
+SELECT doc_id AS page_id, 'https://' || site || '.test/' || doc_id AS url, site,
+  CASE WHEN doc_id % 10 = 9 THEN 'N/A' ELSE 'Title ' || doc_id END AS "Title", CASE WHEN failed THEN 'N/A' ELSE 'Writer ' || doc_id % 7 END AS "Author",
+  sha256(CASE WHEN failed THEN 'N/A' WHEN site = 'azdailystar' THEN replace(body, chr(9), '')
+    WHEN site = 'cronkitepbs' THEN replace(body || CASE WHEN body = '' THEN '' ELSE ' ' END, chr(9), '') ELSE body END) AS text_sha256,
+  CASE WHEN failed THEN 'failed' ELSE 'ok' END AS status
+FROM e
+"""
+
+ORACLE_SQL["bill_sections"] = f"""
+SELECT doc_id AS page_id, CASE WHEN doc_id % 3 < 2 THEN sha256(body) END AS text_sha256, CASE WHEN doc_id % 3 < 2 THEN length(body)::INTEGER END AS n_chars,
+  CASE WHEN doc_id % 3 < 2 THEN 'ok' ELSE 'no_section' END AS status
+FROM (SELECT doc_id, {_LINES} AS body FROM documents)
+"""
+
+ORACLE_SQL["result_links"] = """
+SELECT doc_id AS page_id, unnest(['https://site.test/news/' || doc_id, 'http://a.test/' || doc_id, 'https://site.test/story/' || doc_id]) AS href FROM documents
+"""
+
+ORACLE_SQL["session_bills"] = with_views(
+    "SELECT bill_id, bill_number, title, last_action, last_action_date, year FROM bills WHERE year IN ('1993', '1995', '1997')", "bills"
+)

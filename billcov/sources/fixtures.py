@@ -170,6 +170,22 @@ def bill_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """form, lemma – a stand-in dictionary: the first words of every third document, with English-like stems."""
+    docs = _read(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0).select(F.lower("text").alias("text"))
+    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}]+"), F.lit(0)), 1, 40)
+    form = F.col("form")
+    cut = lambda n, add="": F.concat(F.substring(form, F.lit(1), F.char_length(form) - n), F.lit(add))
+    lemma = (
+        F.when(form.endswith("ing") & (F.char_length(form) > 5), cut(3))
+        .when(form.endswith("tion") & (F.char_length(form) > 6), cut(3, "e"))
+        .when(form.endswith("ies") & (F.char_length(form) > 4), cut(3, "y"))
+        .when(form.endswith("s") & ~form.endswith("ss") & (F.char_length(form) > 3), cut(1))
+        .otherwise(form)
+    )
+    return docs.select(F.explode(words).alias("form")).distinct().select("form", lemma.alias("lemma"))
+
+
 def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bill_number, year, text – the whole document each bill's title was drawn from."""
     docs = _read(spark, sf_dir, "documents")
@@ -212,6 +228,9 @@ JOIN orders o ON o.o_orderkey = a.doc_id % 40""",
     "bill_topics": """SELECT concat(CASE WHEN o_orderkey % 3 = 0 THEN 'SB' ELSE 'HB' END, CAST(1000 + o_orderkey AS STRING)) AS bill_number, CAST(year(o_orderdate) AS STRING) AS year,
   CAST((o_orderkey * 37) % 5 AS DOUBLE) / 10 AS Topic1, CAST((o_orderkey * 41) % 7 AS DOUBLE) / 10 AS Topic2, CAST((o_orderkey * 43) % 6 AS DOUBLE) / 10 AS Topic3
 FROM orders""",
+    "lemmas": """SELECT form, CASE WHEN form LIKE '%ing' AND length(form) > 5 THEN left(form, length(form) - 3) WHEN form LIKE '%tion' AND length(form) > 6 THEN concat(left(form, length(form) - 3), 'e')
+  WHEN form LIKE '%ies' AND length(form) > 4 THEN concat(left(form, length(form) - 3), 'y') WHEN form LIKE '%s' AND form NOT LIKE '%ss' AND length(form) > 3 THEN left(form, length(form) - 1) ELSE form END AS lemma
+FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')[1:40]) AS form FROM documents WHERE doc_id % 3 = 0)""",
     "bill_texts": """SELECT b.bill_number, b.year, d.text FROM bills b CROSS JOIN (SELECT count(*) AS n FROM documents) c
 JOIN documents d ON d.doc_id = b.bill_id % c.n""",
 }

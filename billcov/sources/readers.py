@@ -2,8 +2,9 @@
 
 Every table has a fixed schema; CSV cells are read as text and cast to it (no inference).  CSV
 index columns written by pandas/R (``Unnamed: 0``, ``X``, ``_c0``) are dropped.  The session year
-comes from the path (``.../<year>/csv/<table>.csv``); a year range is turned into the file list, so
-only the requested years are read.
+comes from the path (``.../<year>/csv/<table>.csv``); a year range is turned into the file list, and a
+filter on the ``year`` column reaches the scan as a filter on the file's path, so either way only the
+files of the requested years are read.
 """
 
 from __future__ import annotations

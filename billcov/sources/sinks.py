@@ -8,11 +8,14 @@ safe to re-run after a failed job.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
+from billcov.session import ensure_checkpoint_dir, stored
+
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                 mode: str = "overwrite", dynamic: bool = True) -> None:
@@ -27,6 +30,20 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     w.save(path)
 
 
+def write_sessions(df: DataFrame, table: str, year_col: str = "year", root: str | None = None) -> str:
+    """``<root>/<year>/csv/<table>.csv`` for each year of ``df`` (a legislature's session folders); returns the root.
+
+    The rows are materialised once and written year by year (a handful).  Without ``root`` a new folder below ``spark.checkpoint.dir`` is taken."""
+    spark = df.sparkSession
+    root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    rows = stored(df, "sessions")
+    csv = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for r in rows.select(year_col).distinct().collect():
+        mine = rows.where(rows[year_col].eqNullSafe(r[0])).drop(year_col)
+        mine.write.mode("overwrite").options(**csv).csv(f"{root}/{r[0]}/csv/{table}.csv")
+    return root
+
+
 def read_existing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     try:
         return spark.read.format(fmt).option("header", True).load(path)
