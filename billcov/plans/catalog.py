@@ -6,6 +6,7 @@ whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -358,7 +359,24 @@ def q_session_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_session_table(spark, root, "bills").where(F.col("year").isin("1993", "1995", "1997"))
 
 
+def q_collection_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected articles streamed through the completion ledger in two runs: bills done of each site and year."""
+    from pyspark.sql import functions as F
+
+    from billcov.session import ensure_checkpoint_dir, stored
+    from billcov.streaming import ledger
+
+    rows = fx.articles(spark, sf_dir).select("site", F.col("Year").cast("string").alias("year"), F.col("Bill").alias("bill"))
+    totals = stored(rows.groupBy("year").agg(F.countDistinct("bill").alias("total")), "year-totals")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    for early in (True, False):
+        rows.where(F.col("bill").startswith("HB") == early).write.mode("append").parquet(f"{root}/in")
+        ledger.run_ledger(spark, f"{root}/in", totals, f"{root}/out", f"{root}/checkpoint", max_files=1000)
+    return ledger.progress(spark.read.parquet(f"{root}/out"))
+
+
 QUERIES.update({
+    "collection_progress": q_collection_progress,
     "site_articles": q_site_articles,
     "bill_sections": q_bill_sections,
     "result_links": q_result_links,

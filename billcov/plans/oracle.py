@@ -347,3 +347,7 @@ SELECT doc_id AS page_id, unnest(['https://site.test/news/' || doc_id, 'http://a
 ORACLE_SQL["session_bills"] = with_views(
     "SELECT bill_id, bill_number, title, last_action, last_action_date, year FROM bills WHERE year IN ('1993', '1995', '1997')", "bills"
 )
+
+ORACLE_SQL["collection_progress"] = with_views("""
+SELECT a.site, CAST(a.Year AS VARCHAR) AS year, count(DISTINCT a.Bill) AS bills_done, any_value(t.total) AS bills_total, count(DISTINCT a.Bill) >= any_value(t.total) AS complete
+FROM articles a JOIN (SELECT Year, count(DISTINCT Bill) AS total FROM articles GROUP BY Year) t ON t.Year = a.Year GROUP BY a.site, a.Year""", "articles")
