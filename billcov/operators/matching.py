@@ -192,7 +192,10 @@ def match_with_fallback(windows: DataFrame, sets: DataFrame) -> DataFrame:
     all ``n_q`` query tokens, so both come from one token join (its aggregate exchange is reused by
     the three branches below).
     """
-    or_hits = match_or(windows, sets, keep_n_q=True)
+    return _and_else_or(match_or(windows, sets, keep_n_q=True))
+
+
+def _and_else_or(or_hits: DataFrame) -> DataFrame:
     is_and = F.col("matched") == F.col("n_q")
     and_hits = or_hits.where(is_and).drop("n_q")
     has_and = or_hits.where(is_and).select("bill_id", "site").distinct()
@@ -200,6 +203,55 @@ def match_with_fallback(windows: DataFrame, sets: DataFrame) -> DataFrame:
     return and_hits.withColumn("mode", F.lit("and")).unionByName(fallback.withColumn("mode", F.lit("or")))
 
 
+def capped_candidates(windows: DataFrame, sets: DataFrame, cap: int) -> DataFrame:
+    """Rows of ``match_or`` (with n_q) that can be among the ``cap`` first of their (bill, site).
+
+    A query's most frequent token brings most pairs and little relevance, so its postings are read
+    only as far as needed: an article that matches by this token alone ranks behind every article with
+    more tokens and, of its like, by date; so the ``cap`` newest of the postings are enough (those
+    among them that match more tokens rank before the ones left out).  Months that lie wholly in a
+    window need the ``cap`` newest of the month; the window's first and last month are read in full.  The other tokens'
+    postings are joined in full, and their articles are looked up for the frequent token.
+    """
+    from pyspark.sql import Window
+
+    postings = article_tokens(sets)
+    q = bill_queries(windows)
+    keys = ["bill_id", "bill_number", "year", "intro_date", "date_lower", "n_q"]
+    qt = q.select(*keys, F.explode("qtokens").alias("token"))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    frequent = (
+        qt.select("bill_id", "token").join(df, "token", "left")
+        .groupBy("bill_id").agg(F.max(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"))).alias("f"))
+        .select("bill_id", F.col("f.token").alias("frequent"))
+    )
+    qt = qt.join(frequent, "bill_id")
+    months = qt.withColumn("month", _window_months(F.col("date_lower"), F.col("intro_date")))
+
+    rare = months.where(F.col("token") != F.col("frequent"))
+    some = postings.join(rare, ["token", "month"]).where(_in_window(F.col("published")))
+    some = some.groupBy(*keys, "frequent", "URL", "site", "published").agg(F.count(F.lit(1)).alias("others"))
+    some = some.join(sets.select("URL", "atokens"), "URL")
+    both = F.col("others") + F.array_contains("atokens", F.col("frequent")).cast("long")
+    some = some.select("bill_id", "bill_number", "year", "n_q", "URL", "site", "published", both.alias("matched"))
+
+    common = months.where(F.col("token") == F.col("frequent"))
+    inside = (F.col("month") >= F.col("date_lower")) & (F.last_day("month") <= F.col("intro_date"))
+    newest = Window.partitionBy("token", "month", "site").orderBy(F.desc("published"), F.asc("URL"))
+    wanted = frequent.select(F.col("frequent").alias("token")).distinct()
+    listed = postings.join(wanted, "token", "left_semi")
+    top = listed.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= cap).drop("place")
+    whole = top.join(common.where(inside), ["token", "month"])
+    edges = listed.join(common.where(~inside), ["token", "month"]).where(_in_window(F.col("published")))
+    last = whole.unionByName(edges).select("bill_id", "bill_number", "year", "n_q", "URL", "site", "published", F.lit(1).cast("long").alias("matched"))
+    return some.unionByName(last).groupBy("bill_id", "bill_number", "year", "site", "URL", "published", "n_q").agg(F.max("matched").alias("matched"))
+
+
+def match_capped(windows: DataFrame, sets: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` first hits of each (bill, site), AND with OR fallback, without listing the others."""
+    return cap_results(_and_else_or(capped_candidates(windows, sets, cap)), cap)
+
+
 def cap_results(hits: DataFrame, cap: int) -> DataFrame:
     """Keep the ``cap`` most relevant hits per (bill, site): matched tokens desc, newest first, url.
 

@@ -143,8 +143,7 @@ def q_match_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_match_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = mtc.match_with_fallback(_windows(spark, sf_dir), _tokens(spark, sf_dir))
-    return mtc.cap_results(hits, MATCH_CAP)
+    return mtc.match_capped(_windows(spark, sf_dir), _tokens(spark, sf_dir), MATCH_CAP)
 
 
 def q_search_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

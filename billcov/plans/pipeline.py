@@ -35,9 +35,7 @@ def collect_articles(
         bills = bills.where(F.col("year").cast("int").between(*years))
     windows = matching.search_windows(bills, history, order_cols)
     sets = matching.article_sets(article_index, sites)
-    hits = matching.match_with_fallback(windows, sets)
-    if cap is not None:
-        hits = matching.cap_results(hits, cap)
+    hits = matching.match_with_fallback(windows, sets) if cap is None else matching.match_capped(windows, sets, cap)
     # Full-row dedup (G5) without shuffling texts per matching bill: the body is a function of the
     # article row, so dedup the match keys first and the bodies once, then attach bodies.
     keys = hits.select("site", "URL", F.col("bill_number").alias("Bill"), F.col("year").cast("int").alias("Year")).distinct()
