@@ -13,7 +13,8 @@ Words are found and hashed with numpy; only stretches whose neighbouring words s
 some template (all that can match two words or more) are walked word by word.
 
 Scale: each text is scanned where it lies; nothing is shuffled.  The automaton has as many states as
-the templates have words, twice at most, and is built in each task.
+the templates have words, twice at most (whole license texts as ``templates`` are fine), and is built
+in each task.
 
 Defined cases: null texts are empty: no words, no labels, score 0; repeated rows and null
 identifiers each get a row; extra columns are ignored; an empty table gives no rows.
@@ -71,7 +72,7 @@ SPANS = "doc_id long, n_words long, places array<struct<label: string, start: lo
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over token sequences, with one end position list per state."""
+    """Generalised suffix automaton over token sequences; each end position is kept at one state."""
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
@@ -82,10 +83,19 @@ class SuffixAutomaton:
             for i, token in enumerate(sequence):
                 last = self._extend(last, token)
                 self.ends[last].append((s, i))
-        # End positions of a state are its own and those of all states below it in the suffix-link tree.
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+        self.below: dict[int, list[int]] = {}
+        for v in range(1, len(self.length)):
             if self.link[v] > 0:
-                self.ends[self.link[v]] += self.ends[v]
+                self.below.setdefault(self.link[v], []).append(v)
+
+    def positions(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, last token) of every place where the state's strings end, in order: its own and those of the states below it in the suffix-link tree."""
+        out, stack = [], [state]
+        while stack:
+            v = stack.pop()
+            out += self.ends[v]
+            stack += self.below.get(v, ())
+        return sorted(out)
 
     def _new(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
@@ -150,9 +160,9 @@ class Scanner:
         number = {w: i for i, w in enumerate(vocabulary)}
         self.sequences = [[number[w] for w in s] for s in sequences]
         self.automaton = SuffixAutomaton(self.sequences)
-        self.near = np.zeros((len(vocabulary) + 1, len(vocabulary) + 1), bool)
-        for s in self.sequences:
-            self.near[s[:-1], s[1:]] = True
+        # Neighbouring words of the templates, as sorted codes.
+        self.base = len(vocabulary) + 1
+        self.pairs = np.unique(np.array([a * self.base + b for s in self.sequences for a, b in zip(s, s[1:])], dtype=np.int64))
         a = self.automaton
         self.phrases = {}  # state -> (label, length) of the phrases that end there
         marked = {a.find(s): (label, len(s)) for s, (_, label) in zip(self.sequences[len(templates) :], phrases)}
@@ -170,6 +180,13 @@ class Scanner:
         at[at == len(self.hashes)] = 0
         return np.where(self.hashes[at] == hashes, self.ids[at], len(self.ids))
 
+    def near(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each word stands before the next one in some template."""
+        if len(tokens) < 2 or not len(self.pairs):
+            return np.zeros(max(len(tokens) - 1, 0), bool)
+        code = tokens[:-1] * self.base + tokens[1:]
+        return self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
+
     def walk(self, tokens: list[int], at: int) -> tuple[list[tuple[str, int]], list[tuple[int, int, int]]]:
         """(base places; maximal matches (end word, length, state)) of a stretch that begins at word ``at``."""
         places, matches = [], []
@@ -196,7 +213,7 @@ class Scanner:
                     out.append((self.templates[t][0], t, start, end, covered / len(self.sequences[t])))
 
         for end, size, state in matches:
-            for t, last in self.automaton.ends[state]:
+            for t, last in self.automaton.positions(state):
                 if t >= len(self.templates):
                     continue
                 chains, stay, best = open_.get(t, []), [], None
@@ -232,7 +249,7 @@ def _scan(options: tuple):
                 low = W.LOWER[raw]
                 w = W.words_of(low, offsets, _WORD[low])
                 tokens = scanner.tokens(w.hash)
-                near = scanner.near[tokens[:-1], tokens[1:]] & (w.doc[:-1] == w.doc[1:]) if len(tokens) else np.zeros(0, bool)
+                near = scanner.near(tokens) & (w.doc[:-1] == w.doc[1:]) if len(tokens) else np.zeros(0, bool)
                 both = np.concatenate([[False], near, [False]])
                 begin, stop = np.flatnonzero(both[1:] & ~both[:-1]), np.flatnonzero(~both[1:] & both[:-1]) + 1
                 first = np.searchsorted(w.doc, np.arange(n + 1))
