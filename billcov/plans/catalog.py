@@ -381,3 +381,86 @@ QUERIES.update({
     "result_links": q_result_links,
     "session_bills": q_session_bills,
 })
+
+
+# ---- files written and read back ---------------------------------------------------------------
+
+
+def q_session_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five session tables written to year folders and read back: rows and sums of identifiers by table and year."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    bills = fx.bills(spark, sf_dir).select("bill_id", "bill_number", "title", "last_action", "last_action_date", "year")
+    year = bills.select("bill_id", "year")
+    people = fx.people(spark, sf_dir).withColumn("year", (1993 + F.col("people_id") % 3).cast("string"))
+    tables = {
+        "bills": (bills, "bill_id"),
+        "history": (fx.history(spark, sf_dir).select("bill_id", "date", "sequence", "action").join(year, "bill_id"), "sequence"),
+        "documents": (fx.bill_documents(spark, sf_dir).select("bill_id", "document_id", "url").join(year, "bill_id"), "document_id"),
+        "people": (people, "people_id"),
+        "sponsors": (fx.sponsors(spark, sf_dir).select("bill_id", "people_id").join(year, "bill_id"), "people_id"),
+    }
+    root = sinks.new_folder(spark, "sessions")
+    out = []
+    for name, (rows, ident) in tables.items():
+        sinks.write_sessions(rows, name, root=root)
+        back = readers.read_session_table(spark, root, name)
+        out.append(back.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(ident).cast("long")).alias("id_sum")).select(F.lit(name).alias("table_name"), "year", "n_rows", "id_sum"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def q_article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written as one CSV for each site and year and read back in one scan; blank text is null."""
+    from pyspark.sql import functions as F
+
+    names = {v: k for k, v in art.FIXTURE_SITE_KEYS.items()}
+    site = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("site"))
+    root = sinks.write_articles(fx.articles(spark, sf_dir).drop("published").withColumn("site", site))
+    back = readers.read_articles(spark, root)
+    return back.select("site", "Author", "Title", F.sha2("Text", 256).alias("text_sha256"), "URL", "Bill", "Year")
+
+
+def q_model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model frame in a table by year, of which one year was wrong and is replaced alone."""
+    from pyspark.sql import functions as F
+
+    from billcov.session import stored
+
+    frame = stored(mt.model_frame(_model_table(spark, sf_dir, similarity=False)), "model-frame")
+    path = sinks.new_folder(spark, "model-store")
+    sinks.write_table(frame.withColumn("passed", F.when(F.col("year") == "1995", 99).otherwise(F.col("passed"))), path, partition_by=["year"])
+    sinks.write_table(frame.where("year = '1995'"), path, partition_by=["year"])
+    return sinks.read_existing(spark, path).withColumn("year", F.col("year").cast("string")).select(*frame.columns)
+
+
+def q_bill_text_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bill texts of a first run, a second run that resumes, and earlier collected ones, as one table."""
+    from pyspark.sql import functions as F
+
+    pages = site_pages.bill_pages(spark, sf_dir)
+    path = sinks.new_folder(spark, "bill-texts")
+    late = pages.where("page_id % 5 > 0")
+    for part in (late.where("page_id % 2 = 0"), late):
+        sinks.append_new(hx.extract_bill_text(part), path, keys=["page_id"])
+    every = sinks.union_bill_text(sinks.read_existing(spark, path), hx.extract_bill_text(pages.where("page_id % 5 = 0")))
+    return every.select("page_id", F.sha2("Bill_Text", 256).alias("text_sha256"), F.length("Bill_Text").alias("n_chars"), "status")
+
+
+def q_other_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL rules of three further sites, over addresses that they concern."""
+    from pyspark.sql import functions as F
+
+    url = F.replace(F.replace(F.replace(F.col("URL"), F.lit("picture-gallery"), F.lit("slideshow")), F.lit("videos/"), F.lit("video/")), F.lit("x-podcast/"), F.lit("x.pdf/"))
+    a = art.apply_url_rules(fx.articles(spark, sf_dir).withColumn("URL", url), ["azcapitoltimes", "foxphoenix", "phoenixnewtimes"])
+    return a.select("site", "URL", "Bill", "Year", "Author", "Title", "status")
+
+
+QUERIES.update({
+    "session_tables": q_session_tables,
+    "article_files": q_article_files,
+    "model_store": q_model_store,
+    "bill_text_store": q_bill_text_store,
+    "other_url_rules": q_other_url_rules,
+})

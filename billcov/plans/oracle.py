@@ -351,3 +351,24 @@ ORACLE_SQL["session_bills"] = with_views(
 ORACLE_SQL["collection_progress"] = with_views("""
 SELECT a.site, CAST(a.Year AS VARCHAR) AS year, count(DISTINCT a.Bill) AS bills_done, any_value(t.total) AS bills_total, count(DISTINCT a.Bill) >= any_value(t.total) AS complete
 FROM articles a JOIN (SELECT Year, count(DISTINCT Bill) AS total FROM articles GROUP BY Year) t ON t.Year = a.Year GROUP BY a.site, a.Year""", "articles")
+
+
+# ---- files written and read back ---------------------------------------------------------------
+
+ORACLE_SQL["session_tables"] = with_views("""
+SELECT 'bills' AS table_name, year, count(*) AS n_rows, sum(bill_id)::BIGINT AS id_sum FROM bills GROUP BY year
+UNION ALL SELECT 'history', year, count(*), sum(sequence)::BIGINT FROM history JOIN bills USING (bill_id) GROUP BY year
+UNION ALL SELECT 'documents', year, count(*), sum(document_id)::BIGINT FROM bill_documents JOIN bills USING (bill_id) GROUP BY year
+UNION ALL SELECT 'people', CAST(1993 + people_id % 3 AS VARCHAR) AS y, count(*), sum(people_id)::BIGINT FROM people GROUP BY y
+UNION ALL SELECT 'sponsors', year, count(*), sum(people_id)::BIGINT FROM sponsors JOIN bills USING (bill_id) GROUP BY year""",
+    "bills", "history", "bill_documents", "people", "sponsors")
+ORACLE_SQL["article_files"] = with_views("""
+SELECT CASE site WHEN 'site_0' THEN 'azcentral' WHEN 'site_1' THEN 'azdailystar' WHEN 'site_2' THEN 'azcapitoltimes' ELSE 'phoenixnewtimes' END AS site,
+  Author, Title, sha256(nullif(Text, '')) AS text_sha256, URL, Bill, Year FROM articles""", "articles")
+ORACLE_SQL["model_store"] = with_views("WITH" + _MODEL_CTES + "\nSELECT * REPLACE (CAST(0 AS INT) AS Bill_Sim_Binary) FROM mf", *_ALL_VIEWS)
+ORACLE_SQL["bill_text_store"] = ORACLE_SQL["bill_sections"]
+ORACLE_SQL["other_url_rules"] = with_views("""
+SELECT site, URL, Bill, Year, CASE WHEN hit THEN 'N/a' ELSE Author END AS Author, CASE WHEN hit THEN 'N/a' ELSE Title END AS Title, CASE WHEN hit THEN 'skipped' ELSE 'ok' END AS status
+FROM (SELECT *, contains(URL, 'best-of') OR contains(URL, 'slideshow') AS hit
+  FROM (SELECT * REPLACE (replace(replace(replace(URL, 'picture-gallery', 'slideshow'), 'videos/', 'video/'), 'x-podcast/', 'x.pdf/') AS URL) FROM articles))
+WHERE NOT contains(URL, '.pdf') AND NOT contains(URL, '/video/')""", "articles")

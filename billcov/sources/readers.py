@@ -9,6 +9,7 @@ files of the requested years are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,10 +92,12 @@ def read_session_table(
 
 def read_articles(spark: SparkSession, root: str, sites: Sequence[str] = tuple(ARTICLE_FILES),
                   blank_text: str = "null") -> DataFrame:
-    """All sites' article CSVs in one read, with a ``site`` column from the file name."""
+    """All sites' article CSVs in one read, with a ``site`` column from the name of the file (or of the
+    folder that stands for it, as Spark writes CSV)."""
     paths = [f"{root}/{ARTICLE_FILES[s]}*.csv" for s in sites]
     raw = _csv(spark, paths)
-    fname = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    known = "|".join(re.escape(ARTICLE_FILES[s]) for s in sites)
+    fname = F.regexp_extract(F.col("_metadata.file_path"), rf"/((?:{known})[^/]*)(?:/[^/]*)?$", 1)
     site = F.lit(None).cast("string")
     for s in sites:
         site = F.when(fname.startswith(ARTICLE_FILES[s]), F.lit(s)).otherwise(site)

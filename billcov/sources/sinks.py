@@ -30,17 +30,36 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     w.save(path)
 
 
+#: Options under which any text survives a CSV file.
+CSV = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def write_sessions(df: DataFrame, table: str, year_col: str = "year", root: str | None = None) -> str:
     """``<root>/<year>/csv/<table>.csv`` for each year of ``df`` (a legislature's session folders); returns the root.
 
     The rows are materialised once and written year by year (a handful).  Without ``root`` a new folder below ``spark.checkpoint.dir`` is taken."""
-    spark = df.sparkSession
-    root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    root = root or new_folder(df.sparkSession, "sessions")
     rows = stored(df, "sessions")
-    csv = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     for r in rows.select(year_col).distinct().collect():
         mine = rows.where(rows[year_col].eqNullSafe(r[0])).drop(year_col)
-        mine.write.mode("overwrite").options(**csv).csv(f"{root}/{r[0]}/csv/{table}.csv")
+        mine.write.mode("overwrite").options(**CSV).csv(f"{root}/{r[0]}/csv/{table}.csv")
+    return root
+
+
+def write_articles(df: DataFrame, root: str | None = None) -> str:
+    """``<root>/<the site's file name><year>.csv`` for each site and year of ``df`` (site, Year and article columns)."""
+    from billcov.sources.readers import ARTICLE_FILES
+
+    root = root or new_folder(df.sparkSession, "articles")
+    rows = stored(df, "articles")
+    for r in rows.select("site", "Year").distinct().collect():  # sites times years
+        mine = rows.where((rows["site"] == r["site"]) & rows["Year"].eqNullSafe(r["Year"])).drop("site")
+        mine.write.mode("overwrite").options(**CSV).csv(f"{root}/{ARTICLE_FILES[r['site']]}{r['Year']}.csv")
     return root
 
 
