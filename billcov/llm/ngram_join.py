@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from billcov.functions.sizing import sized_broadcast
 from billcov.llm import words as W
 from billcov.llm.common import fresh_names, written
-from billcov.llm.components import components
+from billcov.llm.components import components, stars
 
 SHINGLE = 4
 THRESHOLD = 85
@@ -364,7 +364,7 @@ def _tile(t: int, element: str = "<u8"):
     def run(group: pa.Table) -> pa.Table:
         keys, one = np.unique(group.column("key").to_numpy(), return_index=True)  # copies with one identifier come once from each task
         elements = group.column("elements").to_pylist()
-        links = tile_links(keys, [np.frombuffer(elements[i], dtype=element).astype(U64) for i in one], group.column("side").to_numpy()[one], t)
+        links = stars(iter(tile_links(keys, [np.frombuffer(elements[i], dtype=element).astype(U64) for i in one], group.column("side").to_numpy()[one], t)))
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
     return run

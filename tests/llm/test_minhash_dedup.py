@@ -5,9 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_dedup_ops import components_brute, corpus, frame
 
 from billcov.llm import minhash_dedup as M
+from tests.llm.test_dedup_ops import components_brute, corpus, frame
 
 
 @pytest.mark.parametrize("options", [{}, {"run_limit": 2, "tile": 8}, {"hot_from": 6}])

@@ -6,11 +6,12 @@ import sys
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from billcov.llm import quality_rules as Q
 from billcov.llm import source_mixing as M
 from billcov.llm.queries import word_tokenizer_path
 from tests.llm.test_dedup_ops import components_brute, exact_brute
 from tests.llm.test_native_ops import poisson_brute, uniform_brute
-from tests.llm.test_text_ops import base_counts, check_pieces
+from tests.llm.test_text_ops import base_counts, check_pieces, lines_brute
 
 
 def documents(n=160):
@@ -24,6 +25,11 @@ def documents(n=160):
         d = rows[rng.randrange(n)]
         text = d[1].replace(" ", "  ", 3) if i % 3 == 0 else d[1] + " tail" if i % 3 == 1 else "no no " * 60
         rows.append((i, text, "en", "hot", len(text)))
+    banner = " ".join(f"menu{k}" for k in range(70))
+    for i in range(n + 30, n + 60):  # pages of a banner and little else, on one host: too many for the line rule
+        text = banner + "\n" + " ".join(rng.choice(words) for _ in range(10))
+        rows.append((i, text, "en", "hot", len(text)))
+    rows.append((n + 60, banner + "\nother words " + rows[0][1], "en", "s1", 500))  # the banner on another host
     return [*rows, (900, None, None, None, None), (901, "", "en", "hot", 0), (902, "short text", "en", "s1", 10)]
 
 
@@ -31,7 +37,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def brute(rows):
-    rows = [r for r in rows if not base_counts(r[1])[-1]]  # no line is on more than twenty different documents here
+    lines = lines_brute([(r[0], r[3], r[1]) for r in rows], Q.MAX_DOCS_PER_HOST, 1, Q.MIN_REMAINING_PERCENT)
+    assert sum(gone > 0 for gone, _ in lines.values()) == 30
+    rows = [r for r in rows if not base_counts(r[1])[-1] and lines[r[0]][1]]
     keep = exact_brute([r[:2] for r in rows])
     rows = [r for r in rows if keep[r[0]][2]]
     comp = components_brute([r[:2] for r in rows], 5, 80)

@@ -7,13 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_dedup_ops import components_brute
 
 from billcov.llm import license_scan as L
 from billcov.llm import packing as P
 from billcov.llm import quality_classifier as C
 from billcov.llm import quality_rules as Q
 from billcov.llm.queries import word_tokenizer_path
+from tests.llm.test_dedup_ops import components_brute
 
 SPACE = r"[^\x20\x09-\x0D]+"
 ODD = [None, "", " \n\t ", "a", "A b", "é é é\né é é", "x\x1cy", "日本 語\n\n日本 語", "it's <|endoftext|> 9,9 İΣς", " ", "a " * 70_000]
