@@ -19,3 +19,11 @@ def test_view_is_the_same_in_both_engines(spark, duck, name):
     theirs = [tuple(r[i] for i in at) for r in got.fetchall()]
     mine = [tuple(r) for r in df.select(*shared).collect()]
     assert rows_of(shared, mine) == rows_of(shared, theirs)
+
+
+def test_article_texts_do_not_travel(spark):
+    """The few orders that articles can meet go to the articles, so that no whole text is shuffled."""
+    from billcov.sources import fixtures as fx
+
+    plan = fx.articles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
