@@ -46,3 +46,14 @@ def test_matching_uses_equi_keys(spark):
     plan = _plan(E.queries()["match_and"](spark, SF_SMALL))
     assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan or "ShuffledHashJoin" in plan
     assert "token" in plan and "month" in plan
+
+
+def test_model_table_flags_come_without_a_text_for_each_bill(spark, monkeypatch):
+    """Bills name their text by its document; the whole texts stay with the documents."""
+    from billcov.operators import similarity
+    from billcov.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(similarity, "similarity_flags", lambda bills, *a, texts=None, **b: seen.append((bills.columns, texts.columns)) or bills.selectExpr("bill_number", "year", "0 AS Bill_Sim_Binary"))
+    catalog.q_model_table(spark, "/root/testdata/sf0.001")
+    assert seen == [(["bill_number", "year", "doc_id"], ["doc_id", "text"])]
