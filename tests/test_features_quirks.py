@@ -132,3 +132,17 @@ def test_string_helpers(spark):
 def test_dates_add_months_clamps_month_end(spark):
     df = spark.createDataFrame([(dt.date(2020, 8, 31),)], "d date").select(F.add_months("d", -6).alias("x"))
     assert df.first().x == dt.date(2020, 2, 29)
+
+
+def test_actions_are_dealt_once_and_bills_with_many_collapse_first(spark, monkeypatch):
+    """Both ways give the same rows; without such bills only one exchange of actions is planned."""
+    from billcov.operators import features
+
+    rows = [(b, s, f"Assigned to {c} {n} Committee") for b in range(9) for s, c, n in
+            [(k, ("Senate", "House")[(b + k) % 2], ("RULES", "FINANCE", "JUDICIARY", "EDUCATION")[(b * k) % 4]) for k in range(1 + 3 * b)]]
+    history = spark.createDataFrame(rows + [(None, 1, "Assigned to House FINANCE Committee")], "bill_id long, sequence int, action string")
+    once = features.committee_features(history)
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for most in (0, 10):
+        monkeypatch.setattr(features, "MANY_ACTIONS", most)
+        assert sorted(map(str, features.committee_features(history).collect())) == sorted(map(str, once.collect()))
