@@ -27,3 +27,14 @@ def test_article_texts_do_not_travel(spark):
 
     plan = fx.articles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_bill_titles_from_odd_texts(spark, tmp_path):
+    """Title words are what splitting the whole text gives: empty parts, few words, line ends, nulls."""
+    texts = ["", "a", "a  b", ".a,b\nc d", None, " x", "\u00fc\U0001d4b3.b\r\n\tc d", "one two three four." * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1, 9).selectExpr("id AS o_orderkey", "timestamp'1997-01-01' AS o_orderdate", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    parts = lambda t: (t.translate(str.maketrans(".,\n", "   ")).split(" ") + ["", ""])[:3]
+    want = {i: None if t is None else "{}; {};{}".format(*parts(t)) for i, t in enumerate(texts)}
+    got = {r.bill_id % 8: r.title and r.title.removesuffix("; R&D 2020") for r in fx.bills(spark, str(tmp_path)).collect()}
+    assert got == want
